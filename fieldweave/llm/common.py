@@ -164,12 +164,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Tokens:
     """Tokens of some texts: byte ranges start..end in data, 64-bit hashes, and offsets by text."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, words: bool = True):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, words: bool = True, fold: bool = True, cut: np.ndarray | None = None):
+        """cut: bytes at which a token begins even if the one before belongs to a token too."""
         raw = data
-        self.data = data = _LOWER[data]
+        self.data = data = _LOWER[data] if fold else data
         solid = (_ALNUM if words else _SOLID)[raw]
         before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
         before[1:], after[:-1] = solid[:-1], solid[1:]
+        if cut is not None:
+            before &= ~cut
+            after[:-1] &= ~cut[1:]
         inner = offs[:-1][offs[:-1] < len(data)]
         before[inner] = False
         after[offs[1:][offs[1:] > 0] - 1] = False

@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +40,12 @@ BLOOM_HASHES = 7
 MAGIC = b"FWSSTAB1"
 FOOTER = struct.Struct("<QIQIIQQ8s")
 #: Words whose ids a worker remembers at most; then it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
+
+
+_ASCII = [chr(b) if b < 128 else " " for b in range(256)]
+_LETTER = np.array([c.isalnum() for c in _ASCII])
+_SIGN = np.array([not c.isalnum() and c not in " '" and c.isprintable() for c in _ASCII])
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -176,42 +180,83 @@ class Reader:
 
 
 class Encoder:
-    """Encodes texts by their white-space separated words, each distinct word once.
+    """Encodes texts piece by piece, each distinct piece once.
 
-    The tokenizer drops ASCII white space and never joins across it, so a text's ids are its words' ids in turn.
+    The tokenizer drops ASCII white space and never joins across it, nor across the border between ASCII letters or
+    digits and other ASCII signs, but for the apostrophe of a contraction; so a text's ids are its pieces' ids in
+    turn. It lowers letters itself. Texts with the sign of a special
+    token are cut at white space only, and their letters left alone.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, np.ndarray] = {}
-
-    def ids(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = words
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, np.uint32)
-        return [self.known[w] for w in words]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.count, self.used = 1, 1
+        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat = np.full(1 << 18, END_ID, np.uint32)
+        self.size[0] = 1  # word 0 is the end of a document
+
+    def _room(self, words: int, ids: int) -> None:
+        if self.count + words > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros(max(words, len(x)), np.int64)]) for x in (self.first, self.size))
+        if self.used + ids > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(ids, len(self.flat)), np.uint32)])
+
+    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+        """Encode new words in one go, and tell their ids apart by where they stand."""
+        texts = [w.decode() for w in words]
+        starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+        e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = np.array(e.ids, np.uint32)
+        owner = np.searchsorted(starts, np.fromiter((o[0] for o in e.offsets), np.int64, len(ids)), "right") - 1
+        n = len(words)
+        self._room(n, len(ids))
+        self.size[self.count : self.count + n] = np.bincount(owner, minlength=n)
+        self.first[self.count : self.count + n] = self.used + np.searchsorted(owner, np.arange(n))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.known.update(zip(hashes, range(self.count, self.count + n)))
+        self.count, self.used = self.count + n, self.used + len(ids)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets), an end id after each text."""
-        lists = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
-        offs = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        # an empty word stands for white space at an end
-        parts = [*self.ids(words), np.array([END_ID], np.uint32)]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        flat, first = np.concatenate(parts), np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        n = len(texts)
-        which = np.insert(np.asarray(coded.indices).astype(np.int64), offs[1:], len(words)) if n else np.zeros(0, np.int64)
-        count = sizes[which]
+        data, offs = C.text_bytes(texts)
+        special = b"<|" in data.tobytes()
+        t = C.Tokens(data, offs, words=False, fold=not special, cut=None if special else borders(data))
+        distinct, at, back = np.unique(t.hash, return_index=True, return_inverse=True)
+        hashes = distinct.tolist()
+        if len(self.known) + len(hashes) > CACHE_WORDS:
+            self._forget()
+        new = [i for i, h in enumerate(hashes) if h not in self.known]
+        if new:
+            self._learn([hashes[i] for i in new], [t.word(at[i]) for i in new])
+        word = np.fromiter((self.known[h] for h in hashes), np.int64, len(hashes))
+        which = np.insert(word[back], t.offs[1:], 0)
+        count = self.size[which]
         ends = np.concatenate(([0], np.cumsum(count)))
-        out = flat[np.repeat(first[which] - ends[:-1], count) + np.arange(ends[-1])]
-        return out, ends[np.concatenate(([0], offs[1:] + np.arange(1, n + 1)))]
+        out = self.flat[np.repeat(self.first[which] - ends[:-1], count) + np.arange(ends[-1])]
+        return out, ends[t.offs + np.arange(len(t.offs))]
+
+
+def borders(data: np.ndarray) -> np.ndarray:
+    letter, sign = _LETTER[data], _SIGN[data]
+    out = np.zeros(len(data), bool)
+    out[1:] = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
+    return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_for(vocabulary: str) -> Encoder:
+    """A worker keeps its encoder, and the words it knows, from task to task."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary)
+    return _encoders[vocabulary]
 
 
 def default_vocabulary() -> str:
@@ -230,10 +275,10 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, block_byt
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out = Encoder(vocabulary), Writer(block_bytes)
+        encoder, out = encoder_for(vocabulary), Writer(block_bytes)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in C.chunks(C.text_bytes(texts)[1], 4 << 20):
+            for a, b in C.chunks(C.text_bytes(texts)[1], 2 << 20):
                 ids, offs = encoder.encode(texts.slice(a, b - a))
                 for i in range(b - a):
                     out.add(key_of(keys[a + i]), ids[offs[i] : offs[i + 1]])
