@@ -5,9 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 from urllib.parse import urlparse
 
 import numpy as np
@@ -15,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: Words: runs of letters, digits and anything outside ASCII, after A-Z are lowered.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Tokens: runs of anything but ASCII white space.
@@ -59,23 +59,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-_shipped: set[str] = set()
-
-
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, so that very long texts do not pile up in one; and this subpackage's code for the
     workers, wherever they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    key = spark.sparkContext.applicationId
-    if key not in _shipped:
-        here = Path(__file__).resolve().parent
-        folder = tempfile.mkdtemp(prefix="fieldweave-code-")
-        with zipfile.ZipFile(f"{folder}/fieldweave_llm.zip", "w") as z:
-            z.write(here.parent / "__init__.py", "fieldweave/__init__.py")
-            for p in sorted(here.glob("*.py")):
-                z.write(p, f"fieldweave/llm/{p.name}")
-        spark.sparkContext.addPyFile(f"{folder}/fieldweave_llm.zip")
-        _shipped.add(key)
+    ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
