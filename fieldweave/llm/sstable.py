@@ -20,6 +20,7 @@ side by side, ordered by a hash of their text; an empty table gives no shard.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -77,9 +78,8 @@ def read_varint(b: bytes, at: int) -> tuple[int, int]:
 
 
 def bloom_places(key: bytes, bits: int, hashes: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1
-    h = (a << 32) | b
-    return [((h + i * (b * 0x9E3779B1 + i)) & 0xFFFFFFFFFFFF) % bits for i in range(hashes)]
+    a, b = struct.unpack("<QQ", hashlib.blake2b(key, digest_size=16).digest())
+    return [(a + i * (b | 1)) % bits for i in range(hashes)]
 
 
 class Writer:
