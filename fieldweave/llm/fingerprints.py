@@ -174,7 +174,8 @@ def compare(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to one another and to the next's."""
     spark = docs.sparkSession
     C.prepare(spark)
-    ranged = with_next(docs).repartition(C.partitions(spark), "bucket").sortWithinPartitions("bucket", "ghost", "doc_id", "tie")
+    # each range is a partition of its own
+    ranged = with_next(docs).repartitionById(C.partitions(spark), F.col("bucket")).sortWithinPartitions("bucket", "ghost", "doc_id", "tie")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def rows(held: list[tuple]) -> pa.RecordBatch:

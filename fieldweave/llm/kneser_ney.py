@@ -279,10 +279,10 @@ def train(docs: DataFrame) -> Model:
         yield from out()
 
     part = docs.select("text").mapInArrow(count, "shard int, packed binary")
-    pairs = part.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, packed binary, meta string")
+    pairs = part.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(merge, "shard int, packed binary, meta string")
     pairs = C.materialise(pairs, "lm-words")
     of_pairs = [json.loads(r["meta"]) for r in pairs.filter("meta is not null").select("meta").collect()]  # one row a shard
-    rows = pairs.filter("meta is null").select("shard", "packed").repartition(shards, "shard").sortWithinPartitions("shard")
+    rows = pairs.filter("meta is null").select("shard", "packed").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     of_words = [json.loads(r["meta"]) for r in rows.mapInArrow(words, "meta string").collect()]  # one row a shard
     n = [sum(m["of"][k] for m in of_words) for k in range(4)]
     meta = {

@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat, decontamination, fingerprints, jaccard_join, kneser_ney, licenses, mixing, sstable, toxicity
+from . import chat, decontamination, fingerprints, jaccard_join, kneser_ney, licenses, mixing, separators, sstable, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_mixing": mixing.op2_mixing,
+    "op3_token_counts": separators.op3_token_counts,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_licenses": licenses.op5_licenses,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,

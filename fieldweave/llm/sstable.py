@@ -188,10 +188,12 @@ class Encoder:
     token are cut at white space only, and their letters left alone.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, plain: bool = False):
+        """plain: the strings of special tokens are ordinary text."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer.encode_special_tokens = plain
         self._forget()
 
     def _forget(self) -> None:
@@ -249,14 +251,14 @@ def borders(data: np.ndarray) -> np.ndarray:
     return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder_for(vocabulary: str) -> Encoder:
+def encoder_for(vocabulary: str, plain: bool = False) -> Encoder:
     """A worker keeps its encoder, and the words it knows, from task to task."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+    if (vocabulary, plain) not in _encoders:
+        _encoders[vocabulary, plain] = Encoder(vocabulary, plain)
+    return _encoders[vocabulary, plain]
 
 
 def default_vocabulary() -> str:

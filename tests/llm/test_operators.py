@@ -449,3 +449,40 @@ def test_tokens_equal_the_patterns():
             for i in range(a, b):
                 want = pattern.findall(([*texts, ""][i]).translate(LOW))
                 assert [t.word(k).decode() for k in range(t.offs[i - a], t.offs[i - a + 1])] == want
+
+
+# ---------------------------------------------------------------- 3
+
+
+@pytest.mark.parametrize("block", [8, 64, 1 << 22])
+def test_separator_scan(spark, tmp_path, block):
+    from fieldweave.llm import separators
+
+    rng = np.random.default_rng(block)
+    files, want = [], set()
+    for k in range(5):
+        ids = rng.choice([1, 2, 3, 9], [0, 1, 40, 400, 400][k], p=[0.3, 0.3, 0.2, 0.2] if k < 4 else [0.5, 0.3, 0.2, 0]).astype("<u2")
+        common.write_file(str(tmp_path), f"f{k}", [ids.tobytes()])
+        files.append((f"f{k}", ids.nbytes))
+        start = number = 0
+        for i, x in enumerate(ids.tolist()):
+            if x == 9:
+                want.add((f"f{k}", number, start, i - start, True))
+                start, number = i + 1, number + 1
+        if start < len(ids):
+            want.add((f"f{k}", number, start, len(ids) - start, False))
+    got = separators.scan(spark, str(tmp_path), spark.createDataFrame(files, "file string, bytes long"), 9, "<u2", block).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_token_counts(spark, docs, none):
+    from tokenizers import Tokenizer
+
+    from fieldweave.llm import separators
+
+    t = Tokenizer.from_file(sstable.default_vocabulary())
+    t.encode_special_tokens = True
+    rows = separators.count_tokens(clashing(docs, "file", "at", "bytes"), block_bytes=64).collect()
+    want = collections.Counter((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x, *_ in ROWS)
+    assert collections.Counter((r["doc_id"], r["n_tokens"]) for r in rows) == want
+    assert separators.count_tokens(none).count() == 0
