@@ -344,4 +344,42 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = C.crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT
-    return score(docs, train(docs.filter(~held_out)), held_out)
+    scored = score(docs, train(docs.filter(~held_out)), held_out)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
+
+
+_TOKENS = f"regexp_extract_all(translate(coalesce(text, ''), '{C.UPPER}', '{C.LOWER}'), '{C.SPACE_PATTERN}')"
+
+
+def _discounts(name: str, source: str) -> str:
+    parts = ", ".join(f"CAST(count(*) FILTER (WHERE c = {k}) AS DOUBLE) AS n{k}" for k in (1, 2, 3, 4))
+    y = "n1 / (n1 + 2 * n2)"
+    return f"""{name}n AS (SELECT {parts} FROM {source}),
+     {name} AS (SELECT greatest(0, least(1, 1 - 2 * {y} * n2 / n1)) AS d1, greatest(0, least(2, 2 - 3 * {y} * n3 / n2)) AS d2, greatest(0, least(3, 3 - 4 * {y} * n4 / n3)) AS d3 FROM {name}n)"""
+
+
+def _discount(c: str, of: str) -> str:
+    return f"CASE WHEN {c} = 0 THEN 0 WHEN {c} = 1 THEN {of}.d1 WHEN {c} = 2 THEN {of}.d2 ELSE {of}.d3 END"
+
+
+#: The crc32 of an id's digits modulo 7, by bytes: SQL has none, so it is folded bit by bit.
+_CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))),
+       lambda h, b: list_reduce(list_prepend(xor(h, b), [CAST(k AS BIGINT) for k in range(8)]), lambda x, k: xor(x // 2, (x % 2) * 3988292384)))"""
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TOKENS} AS w, xor(CAST({_CRC} AS BIGINT), 4294967295) % 7 = 2 AS held_out FROM documents),
+     t AS (SELECT rid, held_out, unnest(list_concat([' start'], w)) AS v, unnest(list_concat(w, [' end'])) AS w FROM d),
+     one AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+     tot AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM one),
+     two AS (SELECT v, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY v, w),
+     bef AS (SELECT w, count(*) AS c FROM two GROUP BY w),
+     {_discounts('dd', 'two')}, {_discounts('ee', 'bef')},
+     beg AS (SELECT v, CAST(sum(c) AS DOUBLE) AS s, (any_value(dd.d1) * count(*) FILTER (WHERE c = 1) + any_value(dd.d2) * count(*) FILTER (WHERE c = 2) + any_value(dd.d3) * count(*) FILTER (WHERE c > 2)) / sum(c) AS g FROM two, dd GROUP BY v),
+     g0 AS (SELECT sum({_discount('c', 'ee')}) / sum(c) AS g, CAST(sum(c) AS DOUBLE) AS u FROM bef, ee),
+     low AS (SELECT w, greatest(c - ({_discount('c', 'ee')}), 0) / g0.u + g0.g / (tot.v + 1) AS p FROM bef, ee, g0, tot),
+     s AS (SELECT t.rid, coalesce(one.c, 0) AS c1, log10((coalesce(one.c, 0) + 1) / CAST(tot.n + tot.v + 1 AS DOUBLE)) AS base,
+             log10(CASE WHEN beg.s IS NULL THEN coalesce(low.p, g0.g / (tot.v + 1)) ELSE greatest(coalesce(two.c, 0) - ({_discount('coalesce(two.c, 0)', 'dd')}), 0) / beg.s + beg.g * coalesce(low.p, g0.g / (tot.v + 1)) END) AS p
+           FROM t CROSS JOIN tot CROSS JOIN dd CROSS JOIN g0 LEFT JOIN one ON one.w = t.w LEFT JOIN two ON two.v = t.v AND two.w = t.w LEFT JOIN beg ON beg.v = t.v LEFT JOIN low ON low.w = t.w)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c1 > 0) AS n_known, any_value(tot.n) AS train_tokens,
+       round(sum(base), 6) AS base_score, round(sum(p), 6) AS score
+FROM d JOIN s USING (rid), tot GROUP BY rid, doc_id, held_out
+"""

@@ -17,5 +17,6 @@ QUERIES = {
 SQL = {
     "op4_decontamination": decontamination.OP4_SQL,
     "op5_licenses": licenses.OP5_SQL,
+    "op7_lm_score": kneser_ney.OP7_SQL,
     "op9_chat_format": chat.OP9_SQL,
 }
