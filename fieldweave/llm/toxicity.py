@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples.
 
 Examples are a bounded, seeded sample of the labelled documents (``MAX_EXAMPLES``; equal texts once). Terms are the
-words that the sample's labels make telling (smoothed log odds of at least ``MIN_Z`` standard errors; at most
-``MAX_TERMS``); a text is its TF-IDF vector over them, with document frequencies counted over all documents. A text's
+words that the sample's labels make telling (smoothed log odds of at least ``MIN_ODDS`` and ``MIN_Z`` standard errors;
+at most ``MAX_TERMS``); a text is its TF-IDF vector over them, with document frequencies counted over all documents. A text's
 nearest examples by exact cosine come from an inverted index whose postings are cut into blocks of examples with the
 greatest weight of each term in each block: blocks are opened in the order of their upper bounds, until no bound
 exceeds the k-th best. Votes are weighted by nearness and calibrated by a logistic fit of the examples' own votes,
@@ -30,7 +30,7 @@ FOLDS, HELD_OUT = 5, 0
 #: The classifier is fitted on at most so many labelled documents and terms.
 MAX_EXAMPLES = 8000
 MAX_TERMS = 2000
-MIN_DF, MIN_Z = 5, 3.0
+MIN_DF, MIN_ODDS, MIN_Z = 5, 2.0, 3.0
 K, BLOCK, PRIOR = 15, 64, 1.0
 SEED = 11
 
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     good = F.col("df") - F.col("bad")
     odds = F.log((F.col("bad") + 0.5) / (n_bad - F.col("bad") + 0.5)) - F.log((good + 0.5) / (n - n_bad - good + 0.5))
     z = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (good + 0.5))
-    rows = df.filter(F.col("bad") >= MIN_DF).withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "h").limit(MAX_TERMS).collect()
+    rows = df.filter(F.col("bad") >= MIN_DF).withColumn("z", z).filter(odds >= MIN_ODDS).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "h").limit(MAX_TERMS).collect()
     model = Model(np.array([r["h"] for r in rows], np.int64).view(np.uint64), [r["word"] for r in rows])
     if not rows:
         model.fit([i for i, _ in sample], np.array([t for _, t in sample], float), [None] * n)
