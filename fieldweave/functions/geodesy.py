@@ -71,30 +71,53 @@ def utm(lon: Column, lat: Column) -> Grid:
     return Grid(utm_zone(lon) * 6.0 - 183.0, 0.9996, 500_000.0, F.when(lat >= 0, 0.0).otherwise(10_000_000.0))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it: keeps the expression tree small."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def grid_point(lon: Column, lat: Column, grid: Grid) -> Column:
+    """(x, y) in metres as a struct."""
+    def plane(s: Column) -> Column:
+        x, y = s["eta"], s["xi"]
+        for j, a in enumerate(ALPHA, 1):
+            x = x + a * F.cos(2 * j * s["xi"]) * F.sinh(2 * j * s["eta"])
+            y = y + a * F.sin(2 * j * s["xi"]) * F.cosh(2 * j * s["eta"])
+        k = grid.scale * _RADIUS
+        return F.struct((grid.east + k * x).alias("x"), (grid.north + k * y).alias("y"))
+
+    def sphere(s: Column) -> Column:
+        return F.struct(F.atan2(s["t"], F.cos(s["dl"])).alias("xi"), F.atanh(F.sin(s["dl"]) / F.sqrt(1 + s["t"] * s["t"])).alias("eta"))
+
+    t = let(F.sin(F.radians(lat)), lambda s: F.sinh(F.atanh(s) - F.lit(_ROOT) * F.atanh(F.lit(_ROOT) * s)))
+    return let(let(F.struct(t.alias("t"), F.radians(lon - grid.meridian).alias("dl")), sphere), plane)
+
+
 def to_grid(lon: Column, lat: Column, grid: Grid) -> tuple[Column, Column]:
     """(east, north) in metres."""
-    phi, dl = F.radians(lat), F.radians(lon - grid.meridian)
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - F.lit(_ROOT) * F.atanh(F.lit(_ROOT) * s))
-    xi, eta = F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
-    x, y = eta, xi
-    for j, a in enumerate(ALPHA, 1):
-        x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    k = grid.scale * _RADIUS
-    return grid.east + k * x, grid.north + k * y
+    p = grid_point(lon, lat, grid)
+    return p["x"], p["y"]
 
 
 def from_grid(east: Column, north: Column, grid: Grid) -> tuple[Column, Column]:
     """(lon, lat) in degrees."""
+    def angles(s: Column) -> Column:
+        x, y = s["xi"], s["eta"]
+        for j, b in enumerate(BETA, 1):
+            x = x - b * F.sin(2 * j * s["xi"]) * F.cosh(2 * j * s["eta"])
+            y = y - b * F.cos(2 * j * s["xi"]) * F.sinh(2 * j * s["eta"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def degrees(s: Column) -> Column:
+        def latitude(chi: Column) -> Column:
+            phi = chi
+            for j, d in enumerate(DELTA, 1):
+                phi = phi + d * F.sin(2 * j * chi)
+            return phi
+
+        lat = let(F.asin(F.sin(s["x"]) / F.cosh(s["y"])), latitude)
+        return F.struct((F.degrees(F.atan2(F.sinh(s["y"]), F.cos(s["x"]))) + grid.meridian).alias("lon"), F.degrees(lat).alias("lat"))
+
     k = grid.scale * _RADIUS
-    xi, eta = (north - grid.north) / k, (east - grid.east) / k
-    x, y = xi, eta
-    for j, b in enumerate(BETA, 1):
-        x = x - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        y = y - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(x) / F.cosh(y))
-    phi = chi
-    for j, d in enumerate(DELTA, 1):
-        phi = phi + d * F.sin(2 * j * chi)
-    return F.degrees(F.atan2(F.sinh(y), F.cos(x))) + grid.meridian, F.degrees(phi)
+    p = let(let(F.struct(((north - grid.north) / k).alias("xi"), ((east - grid.east) / k).alias("eta")), angles), degrees)
+    return p["lon"], p["lat"]

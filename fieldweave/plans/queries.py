@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +10,9 @@ from ..functions import geodesy as G
 from ..functions import scalar as S
 from ..operators import cache, polygons, raster, sampling, scenes, zoning
 from ..sources import domain as D
+from ..sources import sinks
 from ..streaming import scene_stream
+from . import api
 
 N = D.GRID
 MASK_LEVEL = 0.6
@@ -225,7 +228,7 @@ def ring_area_utm(spark: SparkSession, sf: str) -> DataFrame:
     p = places(spark, sf)
     corners = [(-0.002, -0.0015), (0.002, -0.0015), (0.002, 0.0015), (-0.002, 0.0015)]
     grid = G.utm(F.col("lon"), F.col("lat"))
-    pts = [F.struct(*(v.alias(k) for k, v in zip("xy", G.to_grid(F.col("lon") + dx, F.col("lat") + dy, grid)))) for dx, dy in corners]
+    pts = [G.grid_point(F.col("lon") + dx, F.col("lat") + dy, grid) for dx, dy in corners]
     return p.withColumn("ring", F.array(*pts)).select("field_id", F.round(F.abs(S.ring_area(F.col("ring"))) / 10_000, 4).alias("area_ha"))
 
 
@@ -378,11 +381,49 @@ def field_zones(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("field_id", "n_zones", "construction_algorithm", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "n_zones", "construction_algorithm", "features")).alias("document"))
 
 
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Zone requests: an outline of about 400 m per field, some with an exclusion, one zone only, or a broken rule."""
+    k = F.col("field_id")
+    lon, lat = 10.0 + k % 9, 45.0 + k % 7
+
+    def ring(radius: float, n: int):
+        return F.array(*(F.struct((lon + radius * np.cos(2 * np.pi * i / n)).alias("lon"), (lat + 0.7 * radius * np.sin(2 * np.pi * i / n)).alias("lat")) for i in range(n)))
+
+    return fields(spark, sf).select(
+        k, ring(0.0026, 10).alias("polygon"), F.when(k % 4 == 0, F.array(ring(0.0006, 6))).alias("exclusion_polygons"), (F.lit(0.5) + k % 5 * 0.5 - F.when(k % 50 == 49, 9.0).otherwise(0.0)).alias("target_plot_size_ha"),
+        F.lit(60.0).alias("max_cloud_cover"), F.lit(25.0).alias("resolution_m"), (k % 13 == 0).alias("single_zone_override"))
+
+
+def scene_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """The same raster for every scene of a field's six best, a little brighter by the scene."""
+    six = scenes.candidates(D.scenes(spark, sf), 60.0).select("field_id", "scene_id", "rank")
+    return D.ndvi_pixels(spark, sf).join(six, "field_id").select("field_id", "scene_id", "r", "c", (F.col("ndvi") + F.col("scene_id") % 7 * 0.001).alias("ndvi"), F.when((F.col("r") * 7 + F.col("c") * 13) % 97 == 0, 0).otherwise(1).alias("data_mask"))
+
+
+TODAY = "2024-07-01 12:00:00"
+
+
+def catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue, moved into the season."""
+    return D.scenes(spark, sf).withColumn("acquired", F.col("acquired") + F.expr("INTERVAL 120 DAYS"))
+
+
+def field_zone_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole requests, from outlines in degrees to documents with a status."""
+    return api.compute_field_zones(requests(spark, sf), catalogue(spark, sf), scene_pixels(spark, sf), F.lit(TODAY).cast("timestamp"))
+
+
+def ndvi_images(spark: SparkSession, sf: str) -> DataFrame:
+    """The coloured raster of every field as PNG."""
+    rgba = api.ndvi_image(requests(spark, sf), catalogue(spark, sf), scene_pixels(spark, sf), F.lit(TODAY).cast("timestamp"))
+    return sinks.images(rgba, N, N)
+
+
 QUERIES = {f.__name__: f for f in (
     ndvi_field_stats, scene_candidates_top6, best_scene_least_cloud, best_scene_latest, best_vegetation_date, season_window, day_interval,
     pixel_mask_rings, pixel_mask_edges, valid_field_stats, field_status, stretch_percentiles, ndvi_rgba, box_blur, zone_sizing, bisection_zones,
     mask_components4, mask_components8, mask_runs, dilate4, outline_edges, mask_sets, zone_borders, zone_rank, zone_size_ratio, zone_rollup,
     safe_pixels, quantile_rows, distinct_values, pca_axis, path_metrics, utm_project, ring_area_utm, round_trip, coverage_area, bounding_boxes,
     cache_upsert_latest, cache_live, cache_lookup, request_validation, response_headers, scene_windows, raster_blobs, farthest_points,
-    grown_zones, balanced_zone_stats, zone_polygons, gap_filled_zones, legacy_points, sweep_points, zone_tour, field_zones,
+    grown_zones, balanced_zone_stats, zone_polygons, gap_filled_zones, legacy_points, sweep_points, zone_tour, field_zones, field_zone_requests, ndvi_images,
 )}
