@@ -105,7 +105,7 @@ def signatures(docs: DataFrame, runs: int) -> DataFrame:
                     pa.array(np.diff(offs), pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(paths.view(np.int64).ravel()), paths.shape[1]).cast(pa.list_(pa.int64())),
                 ], ["rid", "doc_id", "k1", "k2", "n", "paths"])
 
-    return with_rid(docs).mapInArrow(run, "rid long, doc_id long, k1 long, k2 long, n long, paths array<long>")
+    return C.map_arrow(with_rid(docs), run, "rid long, doc_id long, k1 long, k2 long, n long, paths array<long>")
 
 
 def with_rid(docs: DataFrame) -> DataFrame:
@@ -124,6 +124,7 @@ def leaves(reps: DataFrame, runs: int) -> DataFrame:
     found = None
     for level in range(DEPTH):
         counts = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "rid")).alias("x")).filter("n > 1")
+        counts = C.materialise(counts, f"counts{level}")  # apart from the join, so that a hot node's rows can be split there
         met = C.materialise(rows.join(counts, "node"), f"nodes{level}")
         done = met if level == DEPTH - 1 else met.filter(F.col("n") <= SMALL)
         done = done.select("node", "rid", "n", "s", "x")
@@ -233,7 +234,7 @@ def compare_leaves(docs: DataFrame, reps: DataFrame, members: DataFrame, thresho
         if at is not None and (out := told(group)) is not None:
             yield out
 
-    return dealt.mapInArrow(run, "rid long, links long, root long")
+    return C.map_arrow(dealt, run, "rid long, links long, root long")
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
