@@ -54,7 +54,7 @@ def write_flat(docs: DataFrame, folder: str, separator: int = SEPARATOR, dtype:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sum(map(len, parts))], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["file", "bytes", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "file string, bytes long, ids array<long>")
+    return C.map_arrow(rows, run, "file string, bytes long, ids array<long>")
 
 
 def scan(spark: SparkSession, folder: str, files: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -78,7 +78,7 @@ def scan(spark: SparkSession, folder: str, files: DataFrame, separator: int = SE
                     pa.array([name]), pa.array([at // width], pa.int64()), pa.array([at // width + len(ids)], pa.int64()), pa.array([found], pa.list_(pa.int64())), pa.array([last], pa.int64()),
                 ], ["file", "first", "end", "found", "last"])
 
-    blocks = spans.mapInArrow(run, "file string, first long, end long, found array<long>, last long")
+    blocks = C.map_arrow(spans, run, "file string, first long, end long, found array<long>, last long")
     before = Window.partitionBy("file").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("file").orderBy("first").rowsBetween(1, Window.unboundedFollowing)
     blocks = blocks.select(
@@ -99,7 +99,8 @@ def count_tokens(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     files = C.materialise(write_flat(docs, folder), "flat-files")
     found = scan(spark, folder, files.select("file", "bytes"), block_bytes=block_bytes)
     names = files.select("file", F.posexplode("ids").alias("document", "doc_id")).select("file", F.col("document").cast("long").alias("document"), "doc_id")
-    return names.join(found, ["file", "document"]).select("doc_id", "file", "document", "start", "n_tokens")
+    # both sides grow with the documents: neither is to be broadcast, however small its files look
+    return names.hint("merge").join(found, ["file", "document"]).select("doc_id", "file", "document", "start", "n_tokens")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
