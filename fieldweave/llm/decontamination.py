@@ -219,7 +219,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
             cols = [pa.array(v, k.type) for v, k in zip((n_words, n_hit, ids, spans), arrow)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *added.names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
+    return C.map_arrow(docs, run, T.StructType([*docs.schema.fields, *added.fields]))
 
 
 def to_arrow(kind: T.StructType) -> pa.Schema:
@@ -260,7 +260,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage:
                     cols["n_chars"] = pa.array([len(c) if h else o for c, o, h in zip(cut, old, hit)], cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names)
 
-    return found.mapInArrow(run, kind)
+    return C.map_arrow(found, run, kind)
 
 
 def without(text: str, spans: list[dict]) -> str:

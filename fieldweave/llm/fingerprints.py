@@ -131,7 +131,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
             prints = hexed(sketch_texts([t or "" for t in b.column("text").to_pylist()]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, pa.string())], [*b.schema.names, "fingerprint"])
 
-    return kept.mapInArrow(run, schema)
+    return C.map_arrow(kept, run, schema)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def compare(docs: DataFrame) -> DataFrame:
                     yield rows(held)
                     held, size = held[-1:], len(held[-1][1])
 
-    return ranged.mapInArrow(run, schema)
+    return C.map_arrow(ranged, run, schema)
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

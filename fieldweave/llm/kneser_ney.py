@@ -278,12 +278,12 @@ def train(docs: DataFrame) -> Model:
                 rows.append(unpack(raw.as_buffer().to_pybytes()))
         yield from out()
 
-    part = docs.select("text").mapInArrow(count, "shard int, packed binary")
-    pairs = part.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(merge, "shard int, packed binary, meta string")
+    part = C.map_arrow(docs.select("text"), count, "shard int, packed binary")
+    pairs = C.map_arrow(part.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard"), merge, "shard int, packed binary, meta string")
     pairs = C.materialise(pairs, "lm-words")
     of_pairs = [json.loads(r["meta"]) for r in pairs.filter("meta is not null").select("meta").collect()]  # one row a shard
     rows = pairs.filter("meta is null").select("shard", "packed").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
-    of_words = [json.loads(r["meta"]) for r in rows.mapInArrow(words, "meta string").collect()]  # one row a shard
+    of_words = [json.loads(r["meta"]) for r in C.map_arrow(rows, words, "meta string").collect()]  # one row a shard
     n = [sum(m["of"][k] for m in of_words) for k in range(4)]
     meta = {
         "pairs": {m["shard"]: {"count": m["count"]} for m in of_pairs}, "words": {m["shard"]: {} for m in of_words},
@@ -338,7 +338,7 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
                 done += n
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return C.map_arrow(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,7 +140,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
                     "size": lengths, "passes": np.full(n, passes), "extra": extra, "n": counts,
                 })
 
-    plan = C.materialise(fitted.mapInArrow(run, "key string, source_size long, target double, size long, passes long, extra long, n long"), "plan")
+    plan = C.materialise(C.map_arrow(fitted, run, "key string, source_size long, target double, size long, passes long, extra long, n long"), "plan")
     # lengths of which some but not all documents get one more pass: find the bucket of the cut from counts
     part = plan.filter((F.col("extra") > 0) & (F.col("extra") < F.col("n"))).select("key", "size", "extra")
     by_bucket = rows.join(part, ["key", "size"]).groupBy("key", "size", "extra", "bucket").agg(F.count("*").alias("m"))

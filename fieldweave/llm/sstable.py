@@ -41,7 +41,9 @@ BLOOM_HASHES = 7
 MAGIC = b"FWSSTAB1"
 FOOTER = struct.Struct("<QIQIIQQ8s")
 #: Words whose ids a worker remembers at most; then it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
+#: Pieces encoded at once; an encoding with its offsets takes far more room than its ids.
+LEARN_WORDS = 10_000
 
 
 _ASCII = [chr(b) if b < 128 else " " for b in range(256)]
@@ -234,8 +236,9 @@ class Encoder:
         if len(self.known) + len(hashes) > CACHE_WORDS:
             self._forget()
         new = [i for i, h in enumerate(hashes) if h not in self.known]
-        if new:
-            self._learn([hashes[i] for i in new], [t.word(at[i]) for i in new])
+        for k in range(0, len(new), LEARN_WORDS):
+            some = new[k : k + LEARN_WORDS]
+            self._learn([hashes[i] for i in some], [t.word(at[i]) for i in some])
         word = np.fromiter((self.known[h] for h in hashes), np.int64, len(hashes))
         which = np.insert(word[back], t.offs[1:], 0)
         count = self.size[which]
@@ -292,7 +295,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, block_byt
 
     tied = F.xxhash64("text")
     ordered = docs.select("doc_id", "text", tied.alias("tie")).repartitionByRange(C.partitions(spark), "doc_id", "tie")
-    return ordered.sortWithinPartitions("doc_id", "tie").select("doc_id", "text").mapInArrow(run, "shard string, documents long, tokens long")
+    return C.map_arrow(ordered.sortWithinPartitions("doc_id", "tie").select("doc_id", "text"), run, "shard string, documents long, tokens long")
 
 
 def read(spark: SparkSession, folder: str, shards: list[tuple[str, int]]) -> DataFrame:
@@ -310,7 +313,7 @@ def read(spark: SparkSession, folder: str, shards: list[tuple[str, int]]) -> Dat
                     base += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
 
-    return rows.mapInArrow(run, schema)
+    return C.map_arrow(rows, run, schema)
 
 
 def encode_and_read(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 ], ["h", "word", "bad", "df"])
 
     n, n_bad = len(sample), sum(t for _, t in sample)
-    df = kept.mapInArrow(frequencies, "h long, word string, bad long, df long").groupBy("h").agg(F.min("word").alias("word"), F.sum("bad").alias("bad"), F.sum("df").alias("df"))
+    df = C.map_arrow(kept, frequencies, "h long, word string, bad long, df long").groupBy("h").agg(F.min("word").alias("word"), F.sum("bad").alias("bad"), F.sum("df").alias("df"))
     good = F.col("df") - F.col("bad")
     odds = F.log((F.col("bad") + 0.5) / (n_bad - F.col("bad") + 0.5)) - F.log((good + 0.5) / (n - n_bad - good + 0.5))
     z = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (good + 0.5))
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                     batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(terms, pa.int32())), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(times, pa.int32())),
                 ], ["doc_id", "terms", "times"])
 
-    vectors = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(features, "doc_id long, terms array<int>, times array<int>")
+    vectors = C.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), features, "doc_id long, terms array<int>, times array<int>")
     vectors = C.materialise(vectors, "toxic-terms")
     total = vectors.count()
     model.idf = np.full(len(rows), np.log(total + 1) + 1)
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             added = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(near, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *ADDED])
 
-    return kept.mapInArrow(run, schema)
+    return C.map_arrow(kept, run, schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
