@@ -366,9 +366,9 @@ def zone_tour(spark: SparkSession, sf: str) -> DataFrame:
 
 def field_zones(spark: SparkSession, sf: str) -> DataFrame:
     """The whole answer, one document per field: zones with statistics, points in order, in the tour's order."""
-    z = zoned(spark, sf)
+    z = zoned(spark, sf).persist()  # read by five branches; a lost part is computed again
     stats = raster.rank_zones(raster.statistics(z, ["field_id", "zone"]))
-    pts = sampling.points_of(z, 8, "legacy")
+    pts = sampling.points_of(z, 8, "legacy").persist()
     at = pts.groupBy("field_id", "zone").agg(F.sort_array(F.collect_list(F.struct("seq", "c", "r"))).alias("p"))
     trip = sampling.tour_of(pts.select("field_id", "zone", "seq", F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y")))
     shape = polygons.polygons_of(z.select("field_id", "r", "c", "zone"), N, N)
