@@ -1,17 +1,23 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are a bounded, seeded sample of the labelled documents (``MAX_EXAMPLES``; equal texts once). Terms are the
-words that the sample's labels make telling (smoothed log odds of at least ``MIN_ODDS`` and ``MIN_Z`` standard errors;
-at most ``MAX_TERMS``); a text is its TF-IDF vector over them, with document frequencies counted over all documents. A text's
-nearest examples by exact cosine come from an inverted index whose postings are cut into blocks of examples with the
-greatest weight of each term in each block: blocks are opened in the order of their upper bounds, until no bound
-exceeds the k-th best. Votes are weighted by nearness and calibrated by a logistic fit of the examples' own votes,
-each without itself. Labels, lang, source and doc_id never enter a score.
-
-Defined cases: a null or empty text, or one without telling terms, gets the calibrated rate of such examples; of
-several labels of an id the greatest counts, null ones do not; labels without a document are ignored; without examples
-of both classes the score is the examples' rate (0 without any); ties among neighbours go to the block with the higher
-bound, then to the earlier example; extra columns pass through ``score``.
+Examples are a bounded, seeded sample of the labelled documents (``MAX_EXAMPLES``; equal texts once). A text is its
+TF-IDF vector over every word of the examples, with document frequencies counted over all documents. Its nearest
+examples are those of the highest exact cosine: common words are met as a dense matrix, the others by their postings,
+in single precision, and whatever comes within its error of the k-th best is measured again in double precision.
+
+Two votes, weighted by nearness, tell the score: that of the nearest examples over all words, near copies far ahead,
+and that of the nearest over the words that the sample's labels make telling (smoothed log odds of at least
+``MIN_ODDS`` and ``MIN_Z`` standard errors; at most ``MAX_TERMS``), which in a long text would drown among all words;
+these come from an inverted index whose postings are cut into blocks of examples with the greatest weight of each term
+in each block: blocks are opened in the order of their upper bounds, until no bound exceeds the k-th best. Both are
+calibrated by a logistic fit of the examples' own votes, each without itself. Labels, lang, source and doc_id never
+enter a score.
+
+Defined cases: a null or empty text, or one without a word of the examples, gets the calibrated rate of such examples;
+of several labels of an id the greatest counts, null ones do not; labels without a document are ignored; without
+examples of both classes the score is the examples' rate (0 without any); ties among neighbours over all words go to
+the earlier example, over telling ones to the block with the higher bound, then to the earlier example; extra columns
+pass through ``score``.
 """
 
 from __future__ import annotations
@@ -32,6 +38,9 @@ MAX_EXAMPLES = 8000
 MAX_TERMS = 2000
 MIN_DF, MIN_ODDS, MIN_Z = 5, 2.0, 3.0
 K, BLOCK, PRIOR = 15, 64, 1.0
+#: Of all words: texts and postings met at once, words kept dense (at most, and from which share of the examples on),
+#: what single precision may err by, and how far ahead near copies are.
+TEXTS, POSTINGS, DENSE, COMMON, ERROR, NEAR = 64, 1 << 21, 512, 0.08, 1e-5, 0.01
 SEED = 11
 
 
@@ -70,50 +79,138 @@ class BlockMaxIndex:
         return best
 
 
-class Model:
-    """Terms (hash, word, idf), the examples' index and labels, and the calibration."""
+class CosineIndex:
+    """Sparse unit vectors of examples over all words; every cosine is exact."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
+        self.n = len(vectors)
+        self.offs = np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors]))).astype(np.int64)
+        self.term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int32)
+        self.weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        order = np.argsort(self.term, kind="stable")
+        self.who = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.offs))[order]
+        self.light = self.weight[order].astype(np.float32)
+        self.at = np.searchsorted(self.term[order], np.arange(terms + 1))
+        df = np.diff(self.at)
+        dense = np.argsort(-df, kind="stable")[:DENSE]
+        dense = dense[df[dense] > COMMON * self.n]
+        self.slot = np.full(terms, -1, np.int32)
+        self.slot[dense] = np.arange(len(dense))
+        self.dense = np.zeros((len(dense), self.n), np.float32)
+        for k, t in enumerate(dense):
+            self.dense[k, self.who[self.at[t] : self.at[t + 1]]] = self.light[self.at[t] : self.at[t + 1]]
+        self.query = np.zeros(terms)
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, but: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
+        """For each text the k examples of the highest cosine above 0, (cosine, example), without the example ``but``."""
+        out: list[list[tuple[float, int]]] = []
+        for a in range(0, len(texts) if self.n else 0, TEXTS):
+            part = texts[a : a + TEXTS]
+            near = self.near(part)
+            if but is not None:
+                near[np.arange(len(part)), but[a : a + TEXTS]] = 0
+            kth = np.partition(near, self.n - k, 1)[:, self.n - k] if self.n > k else np.zeros(len(part))
+            for row, (t, w), least in zip(near, part, kth):
+                some = np.flatnonzero((row > 0) & (row >= least - ERROR))
+                self.query[t] = w
+                size = self.offs[some + 1] - self.offs[some]
+                ends = np.cumsum(size)
+                place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.offs[some] - ends + size, size)
+                exact = np.add.reduceat(self.query[self.term[place]] * self.weight[place], ends - size) if len(ends) else np.zeros(0)
+                self.query[t] = 0
+                best = np.lexsort((some, -exact))[:k]
+                out.append(list(zip(exact[best].tolist(), some[best].tolist())))
+        return out or [[] for _ in texts]
+
+    def near(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The cosines of some texts with all examples, in single precision."""
+        doc = np.repeat(np.arange(len(texts)), [len(t) for t, _ in texts])
+        term, weight = np.concatenate([t for t, _ in texts]), np.concatenate([w for _, w in texts]).astype(np.float32)
+        common = self.slot[term] >= 0
+        q = np.zeros((len(texts), len(self.dense)), np.float32)
+        q[doc[common], self.slot[term[common]]] = weight[common]
+        out = q @ self.dense
+        doc, term, weight = doc[~common], term[~common], weight[~common]
+        size = self.at[term + 1] - self.at[term]
+        total = np.concatenate(([0], np.cumsum(size)))
+        a = 0
+        while a < len(term):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + POSTINGS, "right")) - 1)
+            place = np.arange(total[a], total[b]) + np.repeat(self.at[term[a:b]] - total[a:b], size[a:b])
+            np.add.at(out.reshape(-1), np.repeat(doc[a:b] * self.n, size[a:b]) + self.who[place], np.repeat(weight[a:b], size[a:b]) * self.light[place])
+            a = b
+        return out
 
-    def __init__(self, hashes: np.ndarray, words: list[str]):
-        order = np.argsort(hashes)
-        self.hashes, self.words = hashes[order], [words[i] for i in order]
-        self.idf = np.ones(len(words))
-        self.index, self.ids, self.y = BlockMaxIndex([], len(words)), [], np.zeros(0)
-        self.none, self.line = 0.0, (0.0, 1.0)
+
+class Model:
+    """All words of the examples (hash, idf), which of them are telling, the examples' indexes and labels, and the calibration."""
+
+    def __init__(self, hashes: np.ndarray, telling: dict[int, str]):
+        """telling: words by hash."""
+        self.hashes = np.sort(hashes)
+        at = np.searchsorted(self.hashes, np.array(sorted(telling), np.uint64))
+        self.words = [telling[h] for h in sorted(telling)]
+        self.told = np.full(len(hashes), -1, np.int64)
+        self.told[at] = np.arange(len(at))
+        self.idf = np.ones(len(hashes))
+        self.ids, self.y = [], np.zeros(0)
 
     def vector(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Over all words."""
         w = (1 + np.log(tf)) * self.idf[terms]
-        return terms, w / np.sqrt((w * w).sum())
+        return terms, w / np.sqrt((w * w).sum()) if len(w) else w
+
+    def telling(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Over the telling words, which have numbers of their own."""
+        own = self.told[terms] >= 0
+        return self.told[terms[own]], self.vector(terms[own], tf[own])[1]
 
     def counts(self, t: C.Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(offsets by text, terms, times) of the telling terms of each text."""
+        """(offsets by text, terms, times) of the examples' words in each text."""
         n = len(t.offs) - 1
         if not len(self.hashes) or not len(t.hash):
             return np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, t.hash), len(self.hashes) - 1)
-        hit = np.flatnonzero(self.hashes[at] == t.hash)
+        u, back = np.unique(t.hash, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, u), len(self.hashes) - 1)
+        at = np.where(self.hashes[at] == u, at, -1)[back]
+        hit = np.flatnonzero(at >= 0)
         key, times = np.unique(t.doc()[hit] * len(self.hashes) + at[hit], return_counts=True)
         return np.searchsorted(key, np.arange(n + 1) * len(self.hashes)), key % len(self.hashes), times
 
-    def vote(self, best: list[tuple[float, int]]) -> float:
+    def vote(self, best: list[tuple[float, int]], none: float, near: float | None = None) -> float:
+        """near: weights rise as the odds of the cosine, up to 1 / near."""
         s = np.array([b[0] for b in best])
-        return float((s @ self.y[[b[1] for b in best]] + PRIOR * self.none) / (s.sum() + PRIOR)) if best else self.none
-
-    def fit(self, ids: list[int], y: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray] | None]) -> None:
-        """Index the examples (None: no telling term) and calibrate on each one's vote without itself."""
+        s = s if near is None else s / np.maximum(1 - s, near)
+        return float((s @ self.y[[b[1] for b in best]] + PRIOR * none) / (s.sum() + PRIOR)) if best else none
+
+    def votes(self, rows: list[tuple[np.ndarray, np.ndarray]], leave: bool = False) -> tuple[np.ndarray, list[list[tuple[float, int]]]]:
+        """(both votes of each text, its nearest examples over all words), given (terms, times); leave: the rows are the examples, each votes without itself."""
+        best = self.index.nearest([self.vector(*r) for r in rows], K, np.arange(len(rows)) if leave else None)
+        few = [self.telling(*r) for r in rows]
+        told = [self.few.nearest(*v, K, i if leave else -1) if len(v[0]) else [] for i, v in enumerate(few)]
+        return np.array([(self.vote(b, self.none, NEAR), self.vote(f, self.none_told)) for b, f in zip(best, told)]).reshape(-1, 2), best
+
+    def fit(self, ids: list[int], y: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Index the examples, given (terms, times), and calibrate on each one's votes without itself."""
         self.ids, self.y = ids, y
-        zero = np.array([v is None for v in vectors], bool)
-        self.none = float((y[zero].sum() + 0.5 * (y.sum() > 0)) / (zero.sum() + 1)) if len(y) else 0.0
-        self.index = BlockMaxIndex([v or (np.zeros(0, np.int64), np.zeros(0)) for v in vectors], len(self.words))
         self.both = len(y) > 0 and 0 < y.sum() < len(y)
         self.rate = float(y.mean()) if len(y) else 0.0
+        few = [self.telling(*r) for r in rows]
+
+        def rate_without(v: list[tuple[np.ndarray, np.ndarray]], prior: float) -> float:
+            zero = np.array([not len(t) for t, _ in v], bool)
+            return float((y[zero].sum() + prior) / (zero.sum() + 1)) if len(y) else 0.0
+
+        self.none, self.none_told = rate_without(rows, self.rate), rate_without(few, 0.5 * (y.sum() > 0))
+        self.index, self.few = CosineIndex([self.vector(*r) for r in rows], len(self.hashes)), BlockMaxIndex(few, len(self.words))
         if self.both:
-            votes = np.array([self.none if v is None else self.vote(self.index.nearest(*v, K, i)) for i, v in enumerate(vectors)])
-            self.line = logistic(logit(votes), y)
+            self.line = logistic(logit(self.votes(rows, True)[0]), y)
 
-    def score(self, vote: float) -> float:
+    def score(self, votes: np.ndarray) -> np.ndarray:
+        """Of (vote over all words, vote over telling words) of each text."""
         if not self.both:
-            return self.rate
-        return float(1 / (1 + np.exp(-(self.line[0] + self.line[1] * logit(np.array(vote))))))
+            return np.full(len(votes), self.rate)
+        return 1 / (1 + np.exp(-(self.line[0] + logit(votes) @ self.line[1:])))
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -121,17 +218,19 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Intercept and slope by Newton's method; never a falling line."""
-    m, beta = np.stack([np.ones_like(x), x], 1), np.array([0.0, 1.0])
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Intercept and slopes by Newton's method; never a falling one."""
+    start = np.concatenate(([0.0], np.ones(x.shape[1])))
+    m, beta = np.concatenate([np.ones((len(x), 1)), x], 1), start.copy()
     for _ in range(30):
         p = 1 / (1 + np.exp(-(m @ beta)))
-        grad = m.T @ (y - p) - ridge * (beta - [0.0, 1.0])
-        step = np.linalg.solve((m * (p * (1 - p))[:, None]).T @ m + ridge * np.eye(2), grad)
+        grad = m.T @ (y - p) - ridge * (beta - start)
+        step = np.linalg.solve((m * (p * (1 - p))[:, None]).T @ m + ridge * np.eye(len(beta)), grad)
         beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0]), float(max(beta[1], 0.05))
+    beta[1:] = np.maximum(beta[1:], 0.05)
+    return beta
 
 
 def examples(docs: DataFrame, labels: DataFrame) -> list:
@@ -170,11 +269,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     good = F.col("df") - F.col("bad")
     odds = F.log((F.col("bad") + 0.5) / (n_bad - F.col("bad") + 0.5)) - F.log((good + 0.5) / (n - n_bad - good + 0.5))
     z = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (good + 0.5))
+    df = C.materialise(df, "toxic-words")
     rows = df.filter(F.col("bad") >= MIN_DF).withColumn("z", z).filter(odds >= MIN_ODDS).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "h").limit(MAX_TERMS).collect()
-    model = Model(np.array([r["h"] for r in rows], np.int64).view(np.uint64), [r["word"] for r in rows])
-    if not rows:
-        model.fit([i for i, _ in sample], np.array([t for _, t in sample], float), [None] * n)
-        return model
+    hashes = df.select("h").toArrow()["h"].to_numpy().view(np.uint64)  # the words of MAX_EXAMPLES documents at most
+    model = Model(hashes, {r["h"] % (1 << 64): r["word"] for r in rows})
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, df = 0, np.zeros(len(model.hashes), np.int64)
+        for batch in batches:
+            n += batch.num_rows
+            for _, _, t in C.tokens(batch.column("text")):
+                df += np.bincount(model.counts(t)[1], minlength=len(df))
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *np.flatnonzero(df)], pa.int32()), pa.array([n, *df[df > 0]], pa.int64())], ["term", "df"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,16 +290,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                     batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(terms, pa.int32())), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(times, pa.int32())),
                 ], ["doc_id", "terms", "times"])
 
-    vectors = C.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), features, "doc_id long, terms array<int>, times array<int>")
-    vectors = C.materialise(vectors, "toxic-terms")
-    total = vectors.count()
-    model.idf = np.full(len(rows), np.log(total + 1) + 1)
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # MAX_TERMS rows at most
-        model.idf[r["t"]] = np.log((total + 1) / (r["count"] + 1)) + 1
-    own = {r["doc_id"]: r for r in vectors.join(F.broadcast(marked.select("doc_id")), "doc_id").collect()}
+    count = C.map_arrow(docs.select("text"), frequent, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # one row a word
+    term, freq = count["term"].to_numpy(), count["df"].to_numpy()
+    total = int(freq[term < 0].sum())
+    model.idf = np.full(len(hashes), np.log(total + 1) + 1)
+    model.idf[term[term >= 0]] = np.log((total + 1) / (freq[term >= 0] + 1)) + 1
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marked.select("doc_id")), "doc_id")
+    vectors = C.map_arrow(kept, features, "doc_id long, terms array<int>, times array<int>").toArrow()
+    own = {i: k for k, i in enumerate(vectors["doc_id"].to_pylist())}
     held = [(i, t) for i, t in sample if i in own]
-    model.fit([i for i, _ in held], np.array([t for _, t in held], float), [
-        model.vector(np.array(own[i]["terms"]), np.array(own[i]["times"])) if own[i]["terms"] else None for i, _ in held])
+
+    def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = vectors[name].combine_chunks()
+        return lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
+
+    (terms, offs), (times, _) = flat("terms"), flat("times")
+    model.fit([i for i, _ in held], np.array([t for _, t in held], float), [(terms[offs[own[i]] : offs[own[i] + 1]].astype(np.int64), times[offs[own[i]] : offs[own[i] + 1]]) for i, _ in held])
     return model
 
 
@@ -209,23 +321,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = T.StructType([*kept.schema.fields, *T._parse_datatype_string("score double, predicted int, neighbours array<long>, terms array<string>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = sent.value, {}
+        m = sent.value
         for batch in batches:
             scores, near, words = [], [], []
             for a, b, t in C.tokens(batch.column("text")):
                 offs, terms, times = m.counts(t)
-                for i in range(b - a):
-                    ts, tf = terms[offs[i] : offs[i + 1]], times[offs[i] : offs[i + 1]]
-                    key = ts.tobytes(), tf.tobytes()
-                    if key not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        best = m.index.nearest(*m.vector(ts, tf), K) if len(ts) else []
-                        known[key] = m.score(m.vote(best) if best else m.none), [m.ids[x[1]] for x in best[:3]], [m.words[x] for x in ts]
-                    s, ids, ws = known[key]
-                    scores.append(s)
-                    near.append(ids)
-                    words.append(ws)
+                rows = [(terms[x:y], times[x:y]) for x, y in zip(offs, offs[1:])]
+                keys = [(x.tobytes(), y.tobytes()) for x, y in rows]
+                of = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+                at = [of[k] for k in keys]
+                first = dict(zip(reversed(at), reversed(rows)))
+                votes, best = m.votes([first[i] for i in range(len(of))])
+                told = m.score(votes)
+                scores += [float(told[i]) for i in at]
+                near += [[m.ids[x[1]] for x in best[i][:3]] for i in at]
+                words += [[m.words[x] for x in m.telling(*r)[0]] for r in rows]
             added = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(near, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *ADDED])
 

@@ -439,6 +439,39 @@ def test_index_equals_brute_force():
         assert np.allclose(got, want[: len(got)]) and (len(got) == 10 or want[len(got)] == 0)
 
 
+def test_a_near_copy_is_found_by_words_that_are_not_telling(spark):
+    rows, y = labelled()
+    n = len(rows)
+    rare = " ".join(f"rare{i}" for i in range(40))
+    docs = [*rows, (n, rare), (n + 1, rare + " and"), (n + 2, "cleanly " + " ".join(f"calm{i}" for i in range(40)))]
+    while zlib.crc32(str(docs[n][0]).encode()) % 5 == 0:  # an id outside the held-out fold
+        docs[n] = (docs[n][0] + 1000, rare)
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*y, (docs[n][0], 1)], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    assert got[n + 1]["predicted"] == 1 and got[n + 1]["neighbours"][0] == docs[n][0] and not got[n + 1]["terms"]
+    assert got[n + 2]["predicted"] == 0
+
+
+@pytest.mark.parametrize("share", [0.0, 0.08, 1.0])
+def test_index_of_all_words_equals_brute_force(monkeypatch, share):
+    monkeypatch.setattr(toxicity, "COMMON", share)
+    monkeypatch.setattr(toxicity, "POSTINGS", 50)
+    rng = np.random.default_rng(9)
+    dense = np.zeros((300, 200))
+    for row in dense:
+        row[rng.zipf(1.3, 20) % 200] = rng.uniform(0.1, 1)
+        row /= np.sqrt((row**2).sum())
+    dense[7] = dense[3]
+    vectors = [(np.flatnonzero(row), row[row > 0]) for row in dense]
+    got = toxicity.CosineIndex(vectors, 200).nearest(vectors, 10, np.arange(300))
+    for i, best in enumerate(got):
+        want = dense @ dense[i]
+        want[i] = 0
+        want = sorted(((-c, j) for j, c in enumerate(want) if c > 0))[:10]
+        assert np.allclose([c for c, _ in best], [-c for c, _ in want], atol=1e-12) and len(best) == len(want)
+        assert all(np.isclose(dense[i] @ dense[j], c) for c, j in best)
+
+
 # ---------------------------------------------------------------- shared
 
 
