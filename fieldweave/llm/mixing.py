@@ -113,7 +113,7 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: float, left_words:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = SEED, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every document; taken is its words times its repeats."""
+    """(doc_id, source, size, source_size, target, taken, times) of every document; taken is its words times its repeats."""
     spark = docs.sparkSession
     C.prepare(spark)
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
@@ -155,15 +155,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
     rank = F.row_number().over(Window.partitionBy("key", "size").orderBy("h", "doc_id"))
     edge = joined.filter(F.col("bucket") == F.col("cut")).withColumn("more", (rank <= F.col("extra") - F.col("before")).cast("long"))
     both = sure.unionByName(edge)
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("more"))).alias("taken"), *extra)
+    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("more"))).alias("taken"), (F.col("passes") + F.col("more")).alias("times"), *extra)
 
 
 def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
     """The documents, each row as often as the mix takes it. The number of repeats is a function of the source and
-    length's plan and the row's place in the seeded order, so only the narrow table of repeats meets the texts."""
+    length's plan and the row's place in the seeded order, so only the narrow table of repeats meets the texts. Rows
+    without a word cost no budget and are taken as often as their source's whole passes, and once more if the plan has it."""
     rid = F.xxhash64("doc_id", "source", "text")
     times = mix(docs.withColumn("_rid", rid), weights, most, seed, extra=("_rid",))
-    times = times.filter("taken > 0").select("_rid", (F.col("taken") / F.col("size")).cast("int").alias("_n"))
+    times = times.filter("times > 0").select("_rid", F.col("times").cast("int").alias("_n"))
     # rows equal in all that counts share a row id: together they have the sum of the repeats
     times = C.materialise(times.groupBy("_rid").agg(F.sum("_n").alias("_n"), F.count("*").alias("_c")), "repeats")
     out = docs.withColumn("_rid", rid).join(times, "_rid")

@@ -133,6 +133,14 @@ def test_mixing(docs, none):
     assert sum(len(SPACE.findall(r["text"] or "")) for r in kept) == sum(took.values())
 
 
+def test_rows_without_a_word_are_repeated_as_the_mix_has_them(spark):
+    kinds = "doc_id long, source string, text string"
+    docs = spark.createDataFrame([(i, "ab"[i % 2], prose(i, 30)) for i in range(40)] + [(100, "a", None), (101, "b", ""), (102, "a", " \n")], kinds)
+    want = {r["doc_id"]: r["times"] for r in mixing.mix(docs).collect()}
+    got = [r["doc_id"] for r in mixing.repeat(docs).collect()]
+    assert {i: got.count(i) for i in want} == want and max(want[i] for i in (100, 101, 102)) > 0
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_fit_is_as_near_as_any_subset(seed):
     rng = np.random.default_rng(seed)
