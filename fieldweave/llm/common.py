@@ -83,15 +83,27 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_file(uri: str, name: str, chunks: list[bytes]) -> None:
-    """Write under a private name, then move: a task that is run again replaces the file by an equal one."""
+@contextlib.contextmanager
+def new_file(uri: str, name: str) -> Iterator:
+    """A stream under a private name, moved when it is whole: a task that is run again replaces the file by an equal
+    one, and one that fails leaves none."""
     fsys, path = filesystem(uri)
     fsys.create_dir(path, recursive=True)
     private = f"{path}/.{name}-{uuid.uuid4().hex[:8]}"
-    with fsys.open_output_stream(private) as out:
+    try:
+        with fsys.open_output_stream(private) as out:
+            yield out
+        fsys.move(private, f"{path}/{name}")
+    except BaseException:
+        with contextlib.suppress(OSError):
+            fsys.delete_file(private)
+        raise
+
+
+def write_file(uri: str, name: str, chunks: list[bytes]) -> None:
+    with new_file(uri, name) as out:
         for c in chunks:
             out.write(c)
-    fsys.move(private, f"{path}/{name}")
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
@@ -150,6 +162,46 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class HashTable:
+    """Numbers of distinct 64-bit hashes, by an open-addressed table that is asked for many at once."""
+
+    def __init__(self, hashes: np.ndarray = np.zeros(0, np.uint64)):
+        self.count, self.key, self.slot = 0, np.zeros(16, np.uint64), np.full(64, -1, np.int32)
+        self.add(hashes)
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Hashes that are distinct and not known yet get the next numbers."""
+        n = self.count + len(hashes)
+        if n > len(self.key):
+            self.key = np.concatenate([self.key[: self.count], np.zeros(max(n, 2 * self.count) - self.count, np.uint64)])
+        self.key[self.count : n] = hashes
+        new = np.arange(self.count, n, dtype=np.int32)
+        if 2 * n > len(self.slot):
+            self.slot = np.full(1 << (4 * n - 1).bit_length(), -1, np.int32)
+            new = np.arange(n, dtype=np.int32)
+        self.count = n
+        mask = len(self.slot) - 1
+        at = (self.key[new] & np.uint64(mask)).astype(np.int64)
+        while len(new):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = new[free]  # of several for a slot one gets it, the others go on
+            left = self.slot[at] != new
+            new, at = new[left], (at[left] + 1) & mask
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for the unknown."""
+        mask = len(self.slot) - 1
+        at = (x & np.uint64(mask)).astype(np.int64)
+        out = self.slot[at]
+        odd = np.flatnonzero((out >= 0) & (self.key[out] != x))
+        while len(odd):
+            at[odd] = (at[odd] + 1) & mask
+            now = self.slot[at[odd]]
+            out[odd] = now
+            odd = odd[(now >= 0) & (self.key[now] != x[odd])]
+        return out
+
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -198,6 +250,16 @@ class Tokens:
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
+    def spelled(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, starts) of some tokens, each followed by a space."""
+        size = self.end[which] - self.start[which] + 1
+        ends = np.cumsum(size)
+        starts = ends - size
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[which] - starts, size)
+        out = self.data[np.minimum(place, max(0, len(self.data) - 1))]
+        out[ends - 1] = 32
+        return out, starts
+
 
 def tokens(col: pa.Array, words: bool = True, most: int = 1 << 20) -> Iterator[tuple[int, int, Tokens]]:
     """(first row, end row, tokens) of successive runs of texts."""

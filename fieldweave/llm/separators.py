@@ -13,6 +13,7 @@ rows and ids are documents of their own; an empty table gives no files.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +23,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .sstable import default_vocabulary, encoder_for
+from .sstable import CHUNK, default_vocabulary, encoder_for
 
 SEPARATOR = 49407
-DTYPE = "<u2"
+#: Ids are stored in the first of these that holds them all.
+DTYPES = ("<u2", "<u4")
 BLOCK_BYTES = 1 << 22
 
 
-def write_flat(docs: DataFrame, folder: str, separator: int = SEPARATOR, dtype: str = DTYPE, vocabulary: str | None = None) -> DataFrame:
+def dtype_for(vocabulary: str, separator: int = SEPARATOR) -> str:
+    """The narrowest type that holds every id of the vocabulary, and the separator."""
+    from tokenizers import Tokenizer
+
+    most = max(separator, *Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=True).values())
+    return next(d for d in DTYPES if most <= np.iinfo(d).max)
+
+
+def write_flat(docs: DataFrame, folder: str, separator: int = SEPARATOR, dtype: str | None = None, vocabulary: str | None = None) -> DataFrame:
     """Encode the texts into one flat file per partition, in row order; (file, bytes, ids) lists each file's documents.
 
     The strings of special tokens are ordinary text here, so the separator occurs nowhere else. Nothing is shuffled;
@@ -37,27 +47,32 @@ def write_flat(docs: DataFrame, folder: str, separator: int = SEPARATOR, dtype:
     """
     C.prepare(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
+    dtype = dtype or dtype_for(vocabulary, separator)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, parts, ids = encoder_for(vocabulary, True), [], []
-        for batch in batches:
-            texts = batch.column(1)
-            ids += batch.column(0).to_pylist()
-            for a, b in C.chunks(C.text_bytes(texts)[1], 2 << 20):
-                flat, offs = encoder.encode(texts.slice(a, b - a))
-                flat = flat.copy()
-                flat[offs[1:] - 1] = separator
-                parts.append(flat.astype(dtype).tobytes())
-        if ids:
-            name = f"tokens-{TaskContext.get().partitionId():06d}.bin"
-            C.write_file(folder, name, parts)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sum(map(len, parts))], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["file", "bytes", "ids"])
+        encoder, most = encoder_for(vocabulary, True), np.iinfo(dtype).max
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        name, size, ids = f"tokens-{TaskContext.get().partitionId():06d}.bin", 0, []
+        with C.new_file(folder, name) as file:
+            for batch in itertools.chain([first], batches):
+                texts = batch.column(1)
+                ids += batch.column(0).to_pylist()
+                for a, b in C.chunks(C.text_bytes(texts)[1], CHUNK):
+                    flat, offs = encoder.encode(texts.slice(a, b - a))
+                    flat[offs[1:] - 1] = separator
+                    if flat.max(initial=0) > most:
+                        raise ValueError(f"an id beyond {dtype}")
+                    file.write(flat.astype(dtype).tobytes())
+                    size += len(flat) * np.dtype(dtype).itemsize
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["file", "bytes", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return C.map_arrow(rows, run, "file string, bytes long, ids array<long>")
 
 
-def scan(spark: SparkSession, folder: str, files: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan(spark: SparkSession, folder: str, files: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPES[0], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(file, document, start, n_tokens, closed) of every document of the files (file, bytes); start is the place of
     its first id, document its number in the file from 0."""
     C.prepare(spark)
@@ -92,12 +107,14 @@ def scan(spark: SparkSession, folder: str, files: DataFrame, separator: int = SE
     return docs.select("file", F.col("d.document").alias("document"), F.col("d.start").alias("start"), (F.col("d.stop") - F.col("d.start")).alias("n_tokens"), F.col("d.closed").alias("closed"))
 
 
-def count_tokens(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def count_tokens(docs: DataFrame, block_bytes: int = BLOCK_BYTES, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, file, document, start, n_tokens): write flat files, scan them, and name the documents again."""
     spark = docs.sparkSession
     folder = C.shared_path(spark, "flat")
-    files = C.materialise(write_flat(docs, folder), "flat-files")
-    found = scan(spark, folder, files.select("file", "bytes"), block_bytes=block_bytes)
+    vocabulary = vocabulary or default_vocabulary()
+    dtype = dtype_for(vocabulary)
+    files = C.materialise(write_flat(docs, folder, dtype=dtype, vocabulary=vocabulary), "flat-files")
+    found = scan(spark, folder, files.select("file", "bytes"), dtype=dtype, block_bytes=block_bytes)
     names = files.select("file", F.posexplode("ids").alias("document", "doc_id")).select("file", F.col("document").cast("long").alias("document"), "doc_id")
     # both sides grow with the documents: neither is to be broadcast, however small its files look
     return names.hint("merge").join(found, ["file", "document"]).select("doc_id", "file", "document", "start", "n_tokens")

@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +40,19 @@ END_ID = 1
 BLOCK_BYTES = 1 << 17
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
-MAGIC = b"FWSSTAB1"
+MAGIC = b"FWSSTAB2"
 FOOTER = struct.Struct("<QIQIIQQ8s")
-#: Words whose ids a worker remembers at most; then it starts anew.
-CACHE_WORDS = 300_000
-#: Pieces encoded at once; an encoding with its offsets takes far more room than its ids.
-LEARN_WORDS = 10_000
+#: Pieces, and ids of theirs, that a worker remembers at most; then it starts anew.
+CACHE_WORDS, CACHE_IDS = 1 << 20, 1 << 22
+#: Bytes of text encoded at once, and pieces given to the tokenizer at once; an encoding with its offsets takes far more room than its ids.
+CHUNK, LEARN_WORDS = 1 << 18, 500
+#: Documents read back at once.
+ROWS = 1000
 
 
 _ASCII = [chr(b) if b < 128 else " " for b in range(256)]
 _LETTER = np.array([c.isalnum() for c in _ASCII])
+_SMALL = np.array([c.isalpha() and c.islower() for c in _ASCII])
 _SIGN = np.array([not c.isalnum() and c not in " '" and c.isprintable() for c in _ASCII])
 
 
@@ -79,59 +84,70 @@ def read_varint(b: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def bloom_places(key: bytes, bits: int, hashes: int) -> list[int]:
-    a, b = struct.unpack("<QQ", hashlib.blake2b(key, digest_size=16).digest())
-    return [(a + i * (b | 1)) % bits for i in range(hashes)]
+def mark(key: bytes) -> bytes:
+    """What the Bloom filter knows of a key."""
+    return hashlib.blake2b(key, digest_size=16).digest()
+
+
+def bloom_places(marks: bytes, bits: int, hashes: int) -> list[np.ndarray]:
+    """For each hash the places of all marks; sums are modulo 2**64."""
+    a, b = np.frombuffer(marks, "<u8").reshape(-1, 2).T
+    with np.errstate(over="ignore"):
+        return [((a + np.uint64(i) * (b | np.uint64(1))) % np.uint64(bits)).astype(np.int64) for i in range(hashes)]
 
 
 class Writer:
-    """Packs documents, given in key order, into the bytes of one shard."""
+    """Writes documents, given in key order, into the stream of one shard: blocks leave as they fill, so that besides
+    the block at hand only the sparse index and 16 bytes a document are held."""
 
-    def __init__(self, block_bytes: int = BLOCK_BYTES):
-        self.block_bytes = block_bytes
-        self.out: list[bytes] = []
+    def __init__(self, out: BinaryIO, block_bytes: int = BLOCK_BYTES):
+        self.out, self.block_bytes = out, block_bytes
         self.at = self.tokens = 0
         self.index: list[tuple[bytes, int, int]] = []
-        self.keys: list[bytes] = []
+        self.marks = bytearray()
+        self.packer = zstandard.ZstdCompressor(level=1)
         self._new()
 
     def _new(self) -> None:
         self.block, self.size, self.last = [], 0, b""
 
+    @property
+    def documents(self) -> int:
+        return len(self.marks) // 16
+
     def add(self, key: bytes, ids: np.ndarray) -> None:
         if not self.block:
             self.first = key
         shared = 0
         while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
             shared += 1
-        raw = ids.astype("<u4").tobytes()
-        entry = varint(shared) + varint(len(key) - shared) + key[shared:] + varint(len(ids)) + raw
-        self.block.append(entry)
-        self.size += len(entry)
+        raw = ids.astype("<u4", copy=False).tobytes()
+        self.block += [varint(shared) + varint(len(key) - shared) + key[shared:] + varint(len(ids)), raw]
+        self.size += len(raw) + len(key)
         self.last = key
-        self.keys.append(key)
+        self.marks += mark(key)
         self.tokens += len(ids)
         if self.size >= self.block_bytes:
             self._flush()
 
     def _flush(self) -> None:
         if self.block:
-            packed = zstandard.ZstdCompressor(level=1).compress(b"".join(self.block))
+            packed = self.packer.compress(b"".join(self.block))
             self.index.append((self.first, self.at, len(packed)))
-            self.out.append(packed)
+            self.out.write(packed)
             self.at += len(packed)
             self._new()
 
-    def finish(self) -> list[bytes]:
+    def finish(self) -> None:
         self._flush()
         index = b"".join(struct.pack("<H", len(k)) + k + struct.pack("<QI", a, n) for k, a, n in self.index)
-        bits = max(64, -(-BLOOM_BITS * len(self.keys) // 8) * 8)
-        bloom = bytearray(bits // 8)
-        for k in self.keys:
-            for p in bloom_places(k, bits, BLOOM_HASHES):
-                bloom[p >> 3] |= 1 << (p & 7)
-        footer = FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), BLOOM_HASHES, len(self.keys), self.tokens, MAGIC)
-        return [*self.out, index, bytes(bloom), footer]
+        bits = max(64, -(-BLOOM_BITS * self.documents // 8) * 8)
+        bloom = np.zeros(bits // 8, np.uint8)
+        for p in bloom_places(bytes(self.marks), bits, BLOOM_HASHES):
+            np.bitwise_or.at(bloom, p >> 3, np.uint8(1) << (p & 7).astype(np.uint8))
+        footer = FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), BLOOM_HASHES, self.documents, self.tokens, MAGIC)
+        for part in (index, bloom.tobytes(), footer):
+            self.out.write(part)
 
 
 class Reader:
@@ -171,7 +187,7 @@ class Reader:
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         key = key_of(doc_id)
         bits = 8 * len(self.bloom)
-        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in bloom_places(key, bits, self.hashes)):
+        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for (p,) in bloom_places(mark(key), bits, self.hashes)):
             return []
         i = max(0, bisect.bisect_left(self.index, (key,)) - 1)
         out = []
@@ -199,49 +215,57 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.count, self.used = 1, 1
-        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat = np.full(1 << 18, END_ID, np.uint32)
-        self.size[0] = 1  # word 0 is the end of a document
-
-    def _room(self, words: int, ids: int) -> None:
-        if self.count + words > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros(max(words, len(x)), np.int64)]) for x in (self.first, self.size))
-        if self.used + ids > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(ids, len(self.flat)), np.uint32)])
-
-    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
-        """Encode new words in one go, and tell their ids apart by where they stand."""
-        texts = [w.decode() for w in words]
-        starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-        e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(e.ids, np.uint32)
-        owner = np.searchsorted(starts, np.fromiter((o[0] for o in e.offsets), np.int64, len(ids)), "right") - 1
-        n = len(words)
-        self._room(n, len(ids))
-        self.size[self.count : self.count + n] = np.bincount(owner, minlength=n)
-        self.first[self.count : self.count + n] = self.used + np.searchsorted(owner, np.arange(n))
+        self.known, self.used = C.HashTable(), 1
+        self.first, self.size = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.flat = np.full(1 << 14, END_ID, np.uint32)
+        self.size[0] = 1  # piece 0 is the end of a document
+
+    def _ids(self, t: C.Tokens, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of them) of some pieces. A piece of the letters a to z is one word to the tokenizer, which its
+        model encodes as it stands; the others go through the whole tokenizer, some hundreds at once, and their ids
+        are told apart by where they stand."""
+        data, starts = t.spelled(which)
+        words = data.tobytes().decode().split(" ")[:-1]
+        plain = (np.add.reduceat(~_SMALL[data], starts) == 1).tolist()  # the space alone
+        tokenize = self.tokenizer.model.tokenize
+        ids = [[x.id for x in tokenize(w)] if p else None for w, p in zip(words, plain)]
+        other = [i for i, p in enumerate(plain) if not p]
+        for k in range(0, len(other), LEARN_WORDS):
+            some = other[k : k + LEARN_WORDS]
+            at = np.concatenate(([0], np.cumsum([len(words[i]) + 1 for i in some])))
+            e = self.tokenizer.encode(" ".join(words[i] for i in some), add_special_tokens=False)
+            found, cuts = e.ids, np.searchsorted([o[0] for o in e.offsets], at).tolist()
+            for i, x, y in zip(some, cuts, cuts[1:]):
+                ids[i] = found[x:y]
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int32, len(ids))
+
+    def _learn(self, t: C.Tokens, which: np.ndarray) -> None:
+        ids, size = self._ids(t, which)
+        a, b = self.known.count + 1, self.known.count + 1 + len(which)
+        if b > len(self.first):
+            self.first, self.size = (np.concatenate([x[:a], np.zeros(max(b, 2 * a) - a, np.int32)]) for x in (self.first, self.size))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(ids), self.used), np.uint32)])
+        self.size[a:b] = size
+        self.first[a:b] = self.used + np.cumsum(size) - size
         self.flat[self.used : self.used + len(ids)] = ids
-        self.known.update(zip(hashes, range(self.count, self.count + n)))
-        self.count, self.used = self.count + n, self.used + len(ids)
+        self.known.add(t.hash[which])
+        self.used += len(ids)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets), an end id after each text."""
         data, offs = C.text_bytes(texts)
         special = b"<|" in data.tobytes()
         t = C.Tokens(data, offs, words=False, fold=not special, cut=None if special else borders(data))
-        distinct, at, back = np.unique(t.hash, return_index=True, return_inverse=True)
-        hashes = distinct.tolist()
-        if len(self.known) + len(hashes) > CACHE_WORDS:
+        if self.known.count > CACHE_WORDS or self.used > CACHE_IDS:
             self._forget()
-        new = [i for i, h in enumerate(hashes) if h not in self.known]
-        for k in range(0, len(new), LEARN_WORDS):
-            some = new[k : k + LEARN_WORDS]
-            self._learn([hashes[i] for i in some], [t.word(at[i]) for i in some])
-        word = np.fromiter((self.known[h] for h in hashes), np.int64, len(hashes))
-        which = np.insert(word[back], t.offs[1:], 0)
-        count = self.size[which]
+        piece = self.known.find(t.hash)
+        new = np.flatnonzero(piece < 0)
+        if len(new):
+            self._learn(t, new[np.unique(t.hash[new], return_index=True)[1]])
+            piece[new] = self.known.find(t.hash[new])
+        which = np.insert(piece + 1, t.offs[1:], 0)
+        count = self.size[which].astype(np.int64)
         ends = np.concatenate(([0], np.cumsum(count)))
         out = self.flat[np.repeat(self.first[which] - ends[:-1], count) + np.arange(ends[-1])]
         return out, ends[t.offs + np.arange(len(t.offs))]
@@ -280,18 +304,21 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, block_byt
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out = encoder_for(vocabulary), Writer(block_bytes)
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in C.chunks(C.text_bytes(texts)[1], 2 << 20):
-                ids, offs = encoder.encode(texts.slice(a, b - a))
-                for i in range(b - a):
-                    out.add(key_of(keys[a + i]), ids[offs[i] : offs[i + 1]])
-        if out.keys:
-            n, tokens = len(out.keys), out.tokens
-            shard = f"shard-{TaskContext.get().partitionId():06d}.sst"
-            C.write_file(folder, shard, out.finish())
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "documents": [n], "tokens": [tokens]})
+        encoder = encoder_for(vocabulary)
+        shard = f"shard-{TaskContext.get().partitionId():06d}.sst"
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        with C.new_file(folder, shard) as file:
+            out = Writer(file, block_bytes)
+            for batch in itertools.chain([first], batches):
+                keys, texts = batch.column(0).to_pylist(), batch.column(1)
+                for a, b in C.chunks(C.text_bytes(texts)[1], CHUNK):
+                    ids, offs = encoder.encode(texts.slice(a, b - a))
+                    for i in range(b - a):
+                        out.add(key_of(keys[a + i]), ids[offs[i] : offs[i + 1]])
+            out.finish()
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "documents": [out.documents], "tokens": [out.tokens]})
 
     tied = F.xxhash64("text")
     ordered = docs.select("doc_id", "text", tied.alias("tie")).repartitionByRange(C.partitions(spark), "doc_id", "tie")
@@ -306,12 +333,13 @@ def read(spark: SparkSession, folder: str, shards: list[tuple[str, int]]) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, base in zip(*(c.to_pylist() for c in batch.columns)):
-                out: dict[str, list] = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
-                for key, ids in Reader(f"{folder}/{shard}"):
-                    for k, v in zip(out, (id_of(key), base, len(ids), zlib.crc32(ids.tobytes()))):
-                        out[k].append(v)
-                    base += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
+                found = iter(Reader(f"{folder}/{shard}"))
+                while some := list(itertools.islice(found, ROWS)):
+                    n = np.array([len(ids) for _, ids in some], np.int64)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([id_of(k) for k, _ in some], pa.int64()), pa.array(base + np.cumsum(n) - n), pa.array(n), pa.array([zlib.crc32(ids) for _, ids in some], pa.int64()),
+                    ], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    base += int(n.sum())
 
     return C.map_arrow(rows, run, schema)
 

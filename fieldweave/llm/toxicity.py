@@ -1,23 +1,23 @@
 """Toxicity by the nearest labelled examples.
 
 Examples are a bounded, seeded sample of the labelled documents (``MAX_EXAMPLES``; equal texts once). A text is its
-TF-IDF vector over every word of the examples, with document frequencies counted over all documents. Its nearest
-examples are those of the highest exact cosine: common words are met as a dense matrix, the others by their postings,
-in single precision, and whatever comes within its error of the k-th best is measured again in double precision.
-
-Two votes, weighted by nearness, tell the score: that of the nearest examples over all words, near copies far ahead,
-and that of the nearest over the words that the sample's labels make telling (smoothed log odds of at least
-``MIN_ODDS`` and ``MIN_Z`` standard errors; at most ``MAX_TERMS``), which in a long text would drown among all words;
-these come from an inverted index whose postings are cut into blocks of examples with the greatest weight of each term
-in each block: blocks are opened in the order of their upper bounds, until no bound exceeds the k-th best. Both are
-calibrated by a logistic fit of the examples' own votes, each without itself. Labels, lang, source and doc_id never
-enter a score.
+TF-IDF vector over every word of the examples, with document frequencies counted over all documents; labels choose no
+words. Its neighbours are the examples of the highest exact cosine, found in a block-max inverted index: examples
+stand in blocks of like ones. Rare words are met through their postings; of the common words, whose postings are
+long, each block holds the greatest weights, which bound what they can add. Blocks are opened in the order of their
+bounds, until no bound exceeds the k-th best cosine; only there the common words are summed up.
+
+Votes weighted by nearness tell the score: that of the ``K`` nearest examples, near copies far ahead, and those of the
+nearest ``SHARES`` of all examples, in which words count that are few in a long text. They are calibrated by a
+logistic fit of the examples' own votes, each without itself. Evidence is the nearest examples' ids and, of a text
+called toxic, the words that bring it near to toxic neighbours rather than to others.
 
 Defined cases: a null or empty text, or one without a word of the examples, gets the calibrated rate of such examples;
-of several labels of an id the greatest counts, null ones do not; labels without a document are ignored; without
-examples of both classes the score is the examples' rate (0 without any); ties among neighbours over all words go to
-the earlier example, over telling ones to the block with the higher bound, then to the earlier example; extra columns
-pass through ``score``.
+very long texts are scored whole; of several labels of an id the greatest counts, null ones do not; labels without a
+document are ignored; of several texts of an id that of the least hash is the example; without examples of both
+classes the score is the examples' rate (0 without any); ties among neighbours go to the earlier example; repeated
+rows are scored alike, each for itself; an empty table gives no rows; extra columns pass through ``score``, but for
+score, predicted, neighbours and terms, which it replaces, and through ``clean`` whatever their names.
 """
 
 from __future__ import annotations
@@ -33,184 +33,229 @@ from pyspark.sql import types as T
 from . import common as C
 
 FOLDS, HELD_OUT = 5, 0
-#: The classifier is fitted on at most so many labelled documents and terms.
+#: The classifier is fitted on at most so many labelled documents.
 MAX_EXAMPLES = 8000
-MAX_TERMS = 2000
-MIN_DF, MIN_ODDS, MIN_Z = 5, 2.0, 3.0
-K, BLOCK, PRIOR = 15, 64, 1.0
-#: Of all words: texts and postings met at once, words kept dense (at most, and from which share of the examples on),
-#: what single precision may err by, and how far ahead near copies are.
-TEXTS, POSTINGS, DENSE, COMMON, ERROR, NEAR = 64, 1 << 21, 512, 0.08, 1e-5, 0.01
-SEED = 11
+#: Neighbours: so many, and these shares of the examples; how far ahead near copies are at most; the weight of the rate.
+K, SHARES, NEAR, PRIOR = 15, (0.025, 0.05), 0.01, 1.0
+#: A word counts tf * (1 + SATURATION) / (tf + SATURATION) times its idf.
+SATURATION = 1.0
+#: Of the index: examples a block, texts at once, from which share of the examples on a word is common and how many
+#: are at most, and how much more than the neighbours is opened at first. They decide the speed alone.
+BLOCK, TEXTS, COMMON, DENSE, FIRST = 64, 64, 0.06, 512, 2.0
+#: Cosines that differ by less are ties.
+SAME = 1e-12
+SEED, TERMS = 11, 5
+
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def flattened(vectors: list[Vector]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, terms, weights) of sparse vectors."""
+    offs = np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors]))).astype(np.int64)
+    if not len(vectors):
+        return offs, np.zeros(0, np.int32), np.zeros(0)
+    return offs, np.concatenate([t for t, _ in vectors]).astype(np.int32), np.concatenate([w for _, w in vectors]).astype(np.float64)
+
+
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of successive ranges, one after another."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
 
 
 class BlockMaxIndex:
-    """Sparse unit vectors of examples, by term and by block of examples."""
+    """Sparse unit vectors of examples, by term and by block of examples; every cosine is exact."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
+    def __init__(self, vectors: list[Vector], terms: int):
         self.n, self.terms = len(vectors), terms
-        self.blocks = -(-self.n // BLOCK)
-        who = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
-        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
-        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        cell = term * self.blocks + who // BLOCK
-        order = np.argsort(cell, kind="stable")
-        self.who, self.weight = (who % BLOCK)[order], weight[order]
-        self.at = np.searchsorted(cell[order], np.arange(terms * self.blocks + 1))
-        self.top = np.zeros(terms * self.blocks)
-        np.maximum.at(self.top, cell, weight)
-        self.top = self.top.reshape(terms, self.blocks) if self.blocks else self.top.reshape(terms, 0)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> list[tuple[float, int]]:
-        """The k examples of the highest cosine above 0, (cosine, example), without the example ``but``."""
-        bound = weights @ self.top[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] <= best[-1][0]):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                x, y = self.at[t * self.blocks + b], self.at[t * self.blocks + b + 1]
-                if x < y:
-                    score[self.who[x:y]] += w * self.weight[x:y]
-            least = best[-1][0] if len(best) == k else 0.0
-            new = [(float(score[i]), int(b) * BLOCK + int(i)) for i in np.flatnonzero(score > least)]
-            best = sorted([*best, *(x for x in new if x[1] != but)], key=lambda x: -x[0])[:k]
-        return best
-
-
-class CosineIndex:
-    """Sparse unit vectors of examples over all words; every cosine is exact."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        self.n = len(vectors)
-        self.offs = np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors]))).astype(np.int64)
-        self.term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int32)
-        self.weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        order = np.argsort(self.term, kind="stable")
-        self.who = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.offs))[order]
-        self.light = self.weight[order].astype(np.float32)
-        self.at = np.searchsorted(self.term[order], np.arange(terms + 1))
-        df = np.diff(self.at)
-        dense = np.argsort(-df, kind="stable")[:DENSE]
-        dense = dense[df[dense] > COMMON * self.n]
-        self.slot = np.full(terms, -1, np.int32)
-        self.slot[dense] = np.arange(len(dense))
-        self.dense = np.zeros((len(dense), self.n), np.float32)
-        for k, t in enumerate(dense):
-            self.dense[k, self.who[self.at[t] : self.at[t + 1]]] = self.light[self.at[t] : self.at[t + 1]]
-        self.query = np.zeros(terms)
-
-    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, but: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
-        """For each text the k examples of the highest cosine above 0, (cosine, example), without the example ``but``."""
-        out: list[list[tuple[float, int]]] = []
-        for a in range(0, len(texts) if self.n else 0, TEXTS):
-            part = texts[a : a + TEXTS]
-            near = self.near(part)
-            if but is not None:
-                near[np.arange(len(part)), but[a : a + TEXTS]] = 0
-            kth = np.partition(near, self.n - k, 1)[:, self.n - k] if self.n > k else np.zeros(len(part))
-            for row, (t, w), least in zip(near, part, kth):
-                some = np.flatnonzero((row > 0) & (row >= least - ERROR))
-                self.query[t] = w
-                size = self.offs[some + 1] - self.offs[some]
-                ends = np.cumsum(size)
-                place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.offs[some] - ends + size, size)
-                exact = np.add.reduceat(self.query[self.term[place]] * self.weight[place], ends - size) if len(ends) else np.zeros(0)
-                self.query[t] = 0
-                best = np.lexsort((some, -exact))[:k]
-                out.append(list(zip(exact[best].tolist(), some[best].tolist())))
-        return out or [[] for _ in texts]
-
-    def near(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The cosines of some texts with all examples, in single precision."""
-        doc = np.repeat(np.arange(len(texts)), [len(t) for t, _ in texts])
-        term, weight = np.concatenate([t for t, _ in texts]), np.concatenate([w for _, w in texts]).astype(np.float32)
-        common = self.slot[term] >= 0
-        q = np.zeros((len(texts), len(self.dense)), np.float32)
-        q[doc[common], self.slot[term[common]]] = weight[common]
-        out = q @ self.dense
-        doc, term, weight = doc[~common], term[~common], weight[~common]
-        size = self.at[term + 1] - self.at[term]
-        total = np.concatenate(([0], np.cumsum(size)))
-        a = 0
-        while a < len(term):
-            b = max(a + 1, int(np.searchsorted(total, total[a] + POSTINGS, "right")) - 1)
-            place = np.arange(total[a], total[b]) + np.repeat(self.at[term[a:b]] - total[a:b], size[a:b])
-            np.add.at(out.reshape(-1), np.repeat(doc[a:b] * self.n, size[a:b]) + self.who[place], np.repeat(weight[a:b], size[a:b]) * self.light[place])
-            a = b
-        return out
+        self.offs, self.term, self.weight = flattened(vectors)
+        self._build()
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("n", "terms", "offs", "term", "weight")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._build()
+
+    def _build(self) -> None:
+        n = self.n
+        self.number = np.full(self.terms, -1, np.int32)
+        df = np.bincount(self.term, minlength=self.terms)
+        common = np.argsort(-df, kind="stable")[:DENSE]
+        common = common[df[common] > COMMON * n]
+        self.slot = np.full(self.terms, -1, np.int32)
+        self.slot[common] = np.arange(len(common))
+        who = np.repeat(np.arange(n), np.diff(self.offs))
+        often = self.slot[self.term] >= 0
+        dense = np.zeros((n, len(common)))
+        dense[who[often], self.slot[self.term[often]]] = self.weight[often]
+        self.order = alike(dense, np.diff(self.offs))
+        self.blocks = -(-n // BLOCK)
+        self.place = np.empty(n, np.int64)
+        self.place[self.order] = np.arange(n)
+        self.top = np.zeros((len(common), self.blocks))
+        self.dense: list[tuple[np.ndarray, np.ndarray]] = []  # of each block its common words, and their weights
+        for b in range(self.blocks):
+            part = dense[self.order[b * BLOCK : (b + 1) * BLOCK]].T
+            self.top[:, b] = part.max(1, initial=0)
+            own = np.flatnonzero(self.top[:, b])
+            self.dense.append((own, np.ascontiguousarray(part[own])))
+        rare = np.flatnonzero(~often)
+        rare = rare[np.argsort(self.term[rare], kind="stable")]
+        self.at = np.searchsorted(self.term[rare], np.arange(self.terms + 1))
+        self.posting, self.posted = self.place[who[rare]], self.weight[rare]
+
+    def nearest(self, texts: list[Vector], k: int, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the k examples of the highest cosine above 0, without the example ``but``: rows of cosines
+        and of examples, filled up by 0 and -1."""
+        near, who = np.zeros((len(texts), k)), np.full((len(texts), k), -1, np.int64)
+        self.opened = 0
+        for a in range(0, len(texts) if self.n and k else 0, TEXTS):
+            self._nearest(texts[a : a + TEXTS], k, None if but is None else but[a : a + TEXTS], near[a : a + TEXTS], who[a : a + TEXTS])
+        return near, who
+
+    def _nearest(self, texts: list[Vector], k: int, but: np.ndarray | None, near: np.ndarray, who: np.ndarray) -> None:
+        m = len(texts)
+        sums, often = np.zeros((m, self.blocks * BLOCK)), np.zeros((m, len(self.top)))
+        for i, (t, w) in enumerate(texts):
+            slot = self.slot[t]
+            often[i, slot[slot >= 0]] = w[slot >= 0]
+            t, w = t[slot < 0], w[slot < 0]
+            size = self.at[t + 1] - self.at[t]
+            at = spans(self.at[t], size)
+            sums[i] = np.bincount(self.posting[at], np.repeat(w, size) * self.posted[at], minlength=sums.shape[1])
+        if but is not None:
+            sums[np.arange(m), self.place[but]] = -10.0
+        cells = sums.reshape(m, self.blocks, BLOCK)
+        bound = cells.max(2) + often @ self.top
+        first = min(self.blocks, int(np.ceil(FIRST * k / BLOCK)) + 1)
+        best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        open_ = np.zeros((m, self.blocks), bool)
+        np.put_along_axis(open_, best, True, 1)
+        self._open(cells, often, open_)
+        least = np.zeros(m)
+        if first * BLOCK > k and first < self.blocks:
+            met = np.take_along_axis(cells, best[:, :, None], 1).reshape(m, -1)
+            least = np.maximum(np.partition(met, met.shape[1] - k, 1)[:, met.shape[1] - k], 0)
+        more = (bound > least[:, None] - SAME) & ~open_
+        self._open(cells, often, more)
+        open_ |= more
+        self.opened += int(open_.sum())
+        for i in range(m):
+            blocks = np.flatnonzero(open_[i])
+            value = cells[i, blocks].ravel()
+            at = np.flatnonzero(value > SAME)
+            if len(at) > k:
+                at = at[value[at] >= np.partition(value[at], len(at) - k)[len(at) - k] - SAME]
+            value, example = value[at], self.order[blocks[at // BLOCK] * BLOCK + at % BLOCK]
+            at = np.lexsort((example, -np.round(value, 12)))[:k]
+            near[i, : len(at)], who[i, : len(at)] = value[at], example[at]
+
+    def _open(self, cells: np.ndarray, often: np.ndarray, which: np.ndarray) -> None:
+        for b in np.flatnonzero(which.any(0)):
+            rows = np.flatnonzero(which[:, b])
+            own, weights = self.dense[b]
+            cells[rows, b, : weights.shape[1]] += often[np.ix_(rows, own)] @ weights
+
+    def shared(self, text: Vector, examples: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, what each adds) to the weighted sum of the text's cosines with some examples."""
+        size = self.offs[examples + 1] - self.offs[examples]
+        at = spans(self.offs[examples], size)
+        t, w = text
+        self.number[t] = np.arange(len(t))
+        place = self.number[self.term[at]]
+        self.number[t] = -1
+        hit = place >= 0
+        return t, np.bincount(place[hit], (self.weight[at] * np.repeat(weights, size))[hit], minlength=len(t)) * w
+
+
+def alike(dense: np.ndarray, sizes: np.ndarray, rounds: int = 6) -> np.ndarray:
+    """An order in which examples of like common words, and then of like length, stand together."""
+    n = len(dense)
+    groups = int(np.ceil(np.sqrt(n / BLOCK)))
+    if groups < 2 or not dense.shape[1]:
+        return np.argsort(sizes, kind="stable")
+    unit = dense / np.maximum(np.sqrt((dense * dense).sum(1)), 1e-12)[:, None]
+    middle = unit[np.linspace(0, n - 1, groups).astype(int)]
+    for _ in range(rounds):
+        group = (unit @ middle.T).argmax(1)
+        middle = np.stack([unit[group == g].sum(0) if (group == g).any() else middle[g] for g in range(groups)])
+        middle /= np.maximum(np.sqrt((middle * middle).sum(1)), 1e-12)[:, None]
+    return np.lexsort((sizes, group))
 
 
 class Model:
-    """All words of the examples (hash, idf), which of them are telling, the examples' indexes and labels, and the calibration."""
+    """The words of the examples and their idf, the examples' index and labels, and the calibration."""
 
-    def __init__(self, hashes: np.ndarray, telling: dict[int, str]):
-        """telling: words by hash."""
+    def __init__(self, hashes: np.ndarray):
         self.hashes = np.sort(hashes)
-        at = np.searchsorted(self.hashes, np.array(sorted(telling), np.uint64))
-        self.words = [telling[h] for h in sorted(telling)]
-        self.told = np.full(len(hashes), -1, np.int64)
-        self.told[at] = np.arange(len(at))
+        self.table = C.HashTable(self.hashes)
         self.idf = np.ones(len(hashes))
         self.ids, self.y = [], np.zeros(0)
 
-    def vector(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Over all words."""
-        w = (1 + np.log(tf)) * self.idf[terms]
-        return terms, w / np.sqrt((w * w).sum()) if len(w) else w
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.table = C.HashTable(self.hashes)
 
-    def telling(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Over the telling words, which have numbers of their own."""
-        own = self.told[terms] >= 0
-        return self.told[terms[own]], self.vector(terms[own], tf[own])[1]
+    def vector(self, terms: np.ndarray, tf: np.ndarray) -> Vector:
+        w = tf * (1 + SATURATION) / (tf + SATURATION) * self.idf[terms]
+        return terms, w / max(float(np.sqrt((w * w).sum())), 1e-12)
 
     def counts(self, t: C.Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(offsets by text, terms, times) of the examples' words in each text."""
-        n = len(t.offs) - 1
-        if not len(self.hashes) or not len(t.hash):
-            return np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        u, back = np.unique(t.hash, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, u), len(self.hashes) - 1)
-        at = np.where(self.hashes[at] == u, at, -1)[back]
+        """(offsets by text, terms, times) of the examples' words in each text; a text's terms ascend."""
+        n, words = len(t.offs) - 1, max(1, len(self.hashes))
+        at = self.table.find(t.hash)
         hit = np.flatnonzero(at >= 0)
-        key, times = np.unique(t.doc()[hit] * len(self.hashes) + at[hit], return_counts=True)
-        return np.searchsorted(key, np.arange(n + 1) * len(self.hashes)), key % len(self.hashes), times
-
-    def vote(self, best: list[tuple[float, int]], none: float, near: float | None = None) -> float:
-        """near: weights rise as the odds of the cosine, up to 1 / near."""
-        s = np.array([b[0] for b in best])
-        s = s if near is None else s / np.maximum(1 - s, near)
-        return float((s @ self.y[[b[1] for b in best]] + PRIOR * none) / (s.sum() + PRIOR)) if best else none
-
-    def votes(self, rows: list[tuple[np.ndarray, np.ndarray]], leave: bool = False) -> tuple[np.ndarray, list[list[tuple[float, int]]]]:
-        """(both votes of each text, its nearest examples over all words), given (terms, times); leave: the rows are the examples, each votes without itself."""
-        best = self.index.nearest([self.vector(*r) for r in rows], K, np.arange(len(rows)) if leave else None)
-        few = [self.telling(*r) for r in rows]
-        told = [self.few.nearest(*v, K, i if leave else -1) if len(v[0]) else [] for i, v in enumerate(few)]
-        return np.array([(self.vote(b, self.none, NEAR), self.vote(f, self.none_told)) for b, f in zip(best, told)]).reshape(-1, 2), best
-
-    def fit(self, ids: list[int], y: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        key, times = np.unique(t.doc()[hit] * words + at[hit], return_counts=True)
+        return np.searchsorted(key, np.arange(n + 1) * words), key % words, times
+
+    def radii(self) -> list[int]:
+        return [K, *(max(K, round(s * len(self.y))) for s in SHARES)]
+
+    def neighbours(self, rows: list[Vector], leave: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Given (terms, times); leave: the rows are the examples, each without itself."""
+        return self.index.nearest([self.vector(*r) for r in rows], max(self.radii()), np.arange(len(rows)) if leave else None)
+
+    def votes(self, near: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """The votes of each text's neighbours, a column a radius."""
+        bad = np.where(who >= 0, self.y[who] if len(self.y) else 0.0, 0.0)
+        out = []
+        for i, k in enumerate(self.radii()):
+            w = near[:, :k] / np.maximum(1 - near[:, :k], NEAR) if i == 0 else near[:, :k]
+            out.append(((w * bad[:, :k]).sum(1) + PRIOR * self.none) / (w.sum(1) + PRIOR))
+        return np.stack(out, 1)
+
+    def fit(self, ids: list[int], y: np.ndarray, rows: list[Vector]) -> None:
         """Index the examples, given (terms, times), and calibrate on each one's votes without itself."""
         self.ids, self.y = ids, y
         self.both = len(y) > 0 and 0 < y.sum() < len(y)
         self.rate = float(y.mean()) if len(y) else 0.0
-        few = [self.telling(*r) for r in rows]
-
-        def rate_without(v: list[tuple[np.ndarray, np.ndarray]], prior: float) -> float:
-            zero = np.array([not len(t) for t, _ in v], bool)
-            return float((y[zero].sum() + prior) / (zero.sum() + 1)) if len(y) else 0.0
-
-        self.none, self.none_told = rate_without(rows, self.rate), rate_without(few, 0.5 * (y.sum() > 0))
-        self.index, self.few = CosineIndex([self.vector(*r) for r in rows], len(self.hashes)), BlockMaxIndex(few, len(self.words))
+        empty = np.array([not len(t) for t, _ in rows], bool)
+        self.none = float((y[empty].sum() + self.rate) / (empty.sum() + 1)) if len(y) else 0.0
+        self.index = BlockMaxIndex([self.vector(*r) for r in rows], len(self.hashes))
         if self.both:
-            self.line = logistic(logit(self.votes(rows, True)[0]), y)
+            x = logit(self.votes(*self.neighbours(rows, True)))
+            self.middle, self.spread = x.mean(0), x.std(0) + 1e-9
+            self.line = logistic((x - self.middle) / self.spread, y)
 
     def score(self, votes: np.ndarray) -> np.ndarray:
-        """Of (vote over all words, vote over telling words) of each text."""
         if not self.both:
             return np.full(len(votes), self.rate)
-        return 1 / (1 + np.exp(-(self.line[0] + logit(votes) @ self.line[1:])))
+        return 1 / (1 + np.exp(-(self.line[0] + (logit(votes) - self.middle) / self.spread @ self.line[1:])))
+
+    def reasons(self, row: Vector, near: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """The terms that add most to the cosines with toxic neighbours, beyond what they add to the others'."""
+        some = who[: self.radii()[1]]
+        some = some[some >= 0]
+        bad = self.y[some]
+        share = bad.mean() if len(bad) else 0.0
+        t, gain = self.index.shared(self.vector(*row), some, bad - share)
+        best = np.argsort(-gain, kind="stable")[:TERMS]
+        return t[best[gain[best] > 0]]
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -233,115 +278,111 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return beta
 
 
-def examples(docs: DataFrame, labels: DataFrame) -> list:
-    """Rows (doc_id, toxic) of the sample: the first by a seeded hash, equal texts once."""
+def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, text) of the sample, written once: the first by a seeded hash, one text an id, equal texts once."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(C.crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
-    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(MAX_EXAMPLES).collect()
+    sample = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(MAX_EXAMPLES).collect()
+    marked = spark.createDataFrame([(r["doc_id"], int(r["toxic"] > 0)) for r in sample], "doc_id long, toxic int")
+    # marked has MAX_EXAMPLES rows at most
+    one = rows.join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("x"))
+    first = one.groupBy(F.col("x.h")).agg(F.min(F.struct("doc_id", "x")).alias("y"))
+    return C.materialise(first.select("y.doc_id", "y.x.toxic", "y.x.text"), "toxic-examples")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    spark = docs.sparkSession
-    C.prepare(spark)
-    sample = examples(docs, labels)  # MAX_EXAMPLES rows at most, so the table below can be broadcast
-    marked = spark.createDataFrame([(r["doc_id"], int(r["toxic"] > 0)) for r in sample], "doc_id long, toxic int")
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marked), "doc_id")
-    first = kept.groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("doc_id", "toxic")).alias("x")).select("x.*")
-    sample = sorted((r["doc_id"], r["toxic"]) for r in first.collect())
-    marked = spark.createDataFrame(sample, "doc_id long, toxic int")
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marked), "doc_id").select("text", "toxic")
+    C.prepare(docs.sparkSession)
+    kept = examples(docs, labels)
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column("toxic").to_numpy()
-            for a, b, t in C.tokens(batch.column("text")):
-                doc = t.doc()
-                _, at = np.unique(C.mix(t.hash + doc.astype(np.uint64)), return_index=True)
-                h, first, back = np.unique(t.hash[at], return_index=True, return_inverse=True)
-                bad = np.bincount(back, toxic[a:b][doc[at]], minlength=len(h)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(h.view(np.int64)), pa.array([t.word(at[i]).decode() for i in first], pa.string()), pa.array(bad), pa.array(np.bincount(back, minlength=len(h)).astype(np.int64)),
-                ], ["h", "word", "bad", "df"])
-
-    n, n_bad = len(sample), sum(t for _, t in sample)
-    df = C.map_arrow(kept, frequencies, "h long, word string, bad long, df long").groupBy("h").agg(F.min("word").alias("word"), F.sum("bad").alias("bad"), F.sum("df").alias("df"))
-    good = F.col("df") - F.col("bad")
-    odds = F.log((F.col("bad") + 0.5) / (n_bad - F.col("bad") + 0.5)) - F.log((good + 0.5) / (n - n_bad - good + 0.5))
-    z = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (good + 0.5))
-    df = C.materialise(df, "toxic-words")
-    rows = df.filter(F.col("bad") >= MIN_DF).withColumn("z", z).filter(odds >= MIN_ODDS).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "h").limit(MAX_TERMS).collect()
-    hashes = df.select("h").toArrow()["h"].to_numpy().view(np.uint64)  # the words of MAX_EXAMPLES documents at most
-    model = Model(hashes, {r["h"] % (1 << 64): r["word"] for r in rows})
+            for _, _, t in C.tokens(batch.column("text"), most=CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(t.hash).view(np.int64))], ["h"])
+
+    # the words of MAX_EXAMPLES documents at most
+    model = Model(C.map_arrow(kept.select("text"), words, "h long").distinct().toArrow()["h"].to_numpy().view(np.uint64))
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(len(model.hashes), np.int64)
         for batch in batches:
             n += batch.num_rows
-            for _, _, t in C.tokens(batch.column("text")):
+            for _, _, t in C.tokens(batch.column("text"), most=CHUNK):
                 df += np.bincount(model.counts(t)[1], minlength=len(df))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *np.flatnonzero(df)], pa.int32()), pa.array([n, *df[df > 0]], pa.int64())], ["term", "df"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, t in C.tokens(batch.column("text")):
+            for a, b, t in C.tokens(batch.column("text"), most=CHUNK):
                 offs, terms, times = model.counts(t)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(terms, pa.int32())), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(times, pa.int32())),
-                ], ["doc_id", "terms", "times"])
+                    batch.column("doc_id").slice(a, b - a), batch.column("toxic").slice(a, b - a),
+                    pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(terms, pa.int32())), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(times, pa.int32())),
+                ], ["doc_id", "toxic", "terms", "times"])
 
     count = C.map_arrow(docs.select("text"), frequent, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # one row a word
     term, freq = count["term"].to_numpy(), count["df"].to_numpy()
     total = int(freq[term < 0].sum())
-    model.idf = np.full(len(hashes), np.log(total + 1) + 1)
-    model.idf[term[term >= 0]] = np.log((total + 1) / (freq[term >= 0] + 1)) + 1
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marked.select("doc_id")), "doc_id")
-    vectors = C.map_arrow(kept, features, "doc_id long, terms array<int>, times array<int>").toArrow()
-    own = {i: k for k, i in enumerate(vectors["doc_id"].to_pylist())}
-    held = [(i, t) for i, t in sample if i in own]
+    model.idf = np.full(len(model.hashes), np.log(total + 1))
+    model.idf[term[term >= 0]] = np.log((total + 1) / (freq[term >= 0] + 1))
+    found = C.map_arrow(kept, features, "doc_id long, toxic int, terms array<int>, times array<int>").toArrow().sort_by("doc_id")
 
     def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
-        lists = vectors[name].combine_chunks()
-        return lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
+        lists = found[name].combine_chunks()
+        return lists.flatten().to_numpy().astype(np.int64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
 
     (terms, offs), (times, _) = flat("terms"), flat("times")
-    model.fit([i for i, _ in held], np.array([t for _, t in held], float), [(terms[offs[own[i]] : offs[own[i] + 1]].astype(np.int64), times[offs[own[i]] : offs[own[i] + 1]]) for i, _ in held])
+    model.fit(found["doc_id"].to_pylist(), found["toxic"].to_numpy().astype(float), [(terms[x:y], times[x:y]) for x, y in zip(offs, offs[1:])])
     return model
 
 
 ADDED = ["score", "predicted", "neighbours", "terms"]
+#: Bytes of text met at once.
+CHUNK = 1 << 18
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with score, predicted, and as evidence the nearest examples' ids and the telling terms."""
+    """The documents with score, predicted, and as evidence the nearest examples' ids and the telling words."""
     spark = docs.sparkSession
     C.prepare(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(model)  # bounded as the examples are
     kept = docs.drop(*ADDED)
     schema = T.StructType([*kept.schema.fields, *T._parse_datatype_string("score double, predicted int, neighbours array<long>, terms array<string>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            scores, near, words = [], [], []
-            for a, b, t in C.tokens(batch.column("text")):
+            scores, near_ids, words = [], [], []
+            for _, _, t in C.tokens(batch.column("text"), most=CHUNK):
                 offs, terms, times = m.counts(t)
                 rows = [(terms[x:y], times[x:y]) for x, y in zip(offs, offs[1:])]
-                keys = [(x.tobytes(), y.tobytes()) for x, y in rows]
-                of = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-                at = [of[k] for k in keys]
-                first = dict(zip(reversed(at), reversed(rows)))
-                votes, best = m.votes([first[i] for i in range(len(of))])
-                told = m.score(votes)
-                scores += [float(told[i]) for i in at]
-                near += [[m.ids[x[1]] for x in best[i][:3]] for i in at]
-                words += [[m.words[x] for x in m.telling(*r)[0]] for r in rows]
-            added = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(near, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))]
+                of: dict[tuple[bytes, bytes], int] = {}
+                at = [of.setdefault((x.tobytes(), y.tobytes()), len(of)) for x, y in rows]
+                first = np.unique(at, return_index=True)[1]
+                near, who = m.neighbours([rows[i] for i in first])
+                told = m.score(m.votes(near, who))
+                why: dict[int, list[str]] = {}
+                for i, row in zip(at, first.tolist()):
+                    if told[i] >= 0.5 and i not in why:
+                        hashes = t.hash[t.offs[row] : t.offs[row + 1]]
+                        why[i] = [t.word(int(t.offs[row] + np.flatnonzero(hashes == m.hashes[x])[0])).decode() for x in m.reasons(rows[row], near[i], who[i])]
+                scores += told[at].tolist()
+                near_ids += [[m.ids[x] for x in who[i, :3] if x >= 0] for i in at]
+                words += [why.get(i, []) for i in at]
+            added = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(near_ids, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *ADDED])
 
     return C.map_arrow(kept, run, schema)
 
 
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that are not predicted toxic, their columns untouched."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    return score(rows, model).filter("predicted = 0").select("row.*")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, C.table(spark, sf_dir, "labels"))
