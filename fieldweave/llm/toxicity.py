@@ -7,9 +7,9 @@ stand in blocks of like ones. Rare words are met through their postings; of the
 long, each block holds the greatest weights, which bound what they can add. Blocks are opened in the order of their
 bounds, until no bound exceeds the k-th best cosine; only there the common words are summed up.
 
-Votes weighted by nearness tell the score: that of the ``K`` nearest examples, near copies far ahead, and those of the
-nearest ``SHARES`` of all examples, in which words count that are few in a long text. They are calibrated by a
-logistic fit of the examples' own votes, each without itself. Evidence is the nearest examples' ids and, of a text
+Votes weighted by nearness tell the score: that of the ``K`` nearest examples, near copies far ahead, and those of
+twice, four times and so on as many, up to twice the number of toxic (or, if fewer, other) examples; in the wide ones words
+tell that are few in a long text. The votes are calibrated by a logistic fit of the examples' own, each without itself. Evidence is the nearest examples' ids and, of a text
 called toxic, the words that bring it near to toxic neighbours rather than to others.
 
 Defined cases: a null or empty text, or one without a word of the examples, gets the calibrated rate of such examples;
@@ -35,13 +35,13 @@ from . import common as C
 FOLDS, HELD_OUT = 5, 0
 #: The classifier is fitted on at most so many labelled documents.
 MAX_EXAMPLES = 8000
-#: Neighbours: so many, and these shares of the examples; how far ahead near copies are at most; the weight of the rate.
-K, SHARES, NEAR, PRIOR = 15, (0.025, 0.05), 0.01, 1.0
+#: The fewest neighbours; how far ahead near copies are at most; the weight of the rate.
+K, NEAR, PRIOR = 15, 0.01, 1.0
 #: A word counts tf * (1 + SATURATION) / (tf + SATURATION) times its idf.
 SATURATION = 1.0
 #: Of the index: examples a block, texts at once, from which share of the examples on a word is common and how many
 #: are at most, and how much more than the neighbours is opened at first. They decide the speed alone.
-BLOCK, TEXTS, COMMON, DENSE, FIRST = 64, 64, 0.06, 512, 2.0
+BLOCK, TEXTS, COMMON, DENSE, FIRST = 64, 64, 0.1, 512, 2.0
 #: Cosines that differ by less are ties.
 SAME = 1e-12
 SEED, TERMS = 11, 5
@@ -214,7 +214,11 @@ class Model:
         return np.searchsorted(key, np.arange(n + 1) * words), key % words, times
 
     def radii(self) -> list[int]:
-        return [K, *(max(K, round(s * len(self.y))) for s in SHARES)]
+        """From K on each twice the one before, up to twice the number of toxic (or, if fewer, other) examples."""
+        out = [K]
+        while out[-1] <= min(self.y.sum(), len(self.y) - self.y.sum()):
+            out.append(2 * out[-1])
+        return out
 
     def neighbours(self, rows: list[Vector], leave: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Given (terms, times); leave: the rows are the examples, each without itself."""
@@ -247,13 +251,11 @@ class Model:
             return np.full(len(votes), self.rate)
         return 1 / (1 + np.exp(-(self.line[0] + (logit(votes) - self.middle) / self.spread @ self.line[1:])))
 
-    def reasons(self, row: Vector, near: np.ndarray, who: np.ndarray) -> np.ndarray:
-        """The terms that add most to the cosines with toxic neighbours, beyond what they add to the others'."""
-        some = who[: self.radii()[1]]
-        some = some[some >= 0]
-        bad = self.y[some]
-        share = bad.mean() if len(bad) else 0.0
-        t, gain = self.index.shared(self.vector(*row), some, bad - share)
+    def reasons(self, row: Vector, who: np.ndarray) -> np.ndarray:
+        """The terms that add more to the cosines with the nearest toxic examples than to those with the nearest others."""
+        who = who[who >= 0]
+        bad, good = who[self.y[who] > 0][:K], who[self.y[who] == 0][:K]
+        t, gain = self.index.shared(self.vector(*row), np.concatenate([bad, good]), np.concatenate([np.full(len(x), s / max(1, len(x))) for x, s in ((bad, 1), (good, -1))]))
         best = np.argsort(-gain, kind="stable")[:TERMS]
         return t[best[gain[best] > 0]]
 
@@ -264,18 +266,32 @@ def logit(p: np.ndarray) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Intercept and slopes by Newton's method; never a falling one."""
-    start = np.concatenate(([0.0], np.ones(x.shape[1])))
-    m, beta = np.concatenate([np.ones((len(x), 1)), x], 1), start.copy()
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-(m @ beta)))
-        grad = m.T @ (y - p) - ridge * (beta - start)
-        step = np.linalg.solve((m * (p * (1 - p))[:, None]).T @ m + ridge * np.eye(len(beta)), grad)
-        beta += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    beta[1:] = np.maximum(beta[1:], 0.05)
-    return beta
+    """Intercept and slopes by Newton's method with halved steps; columns whose slope would fall are left out, the
+    steepest first, so that no vote ever lowers the score."""
+    m, use = np.concatenate([np.ones((len(x), 1)), x], 1), np.ones(x.shape[1] + 1, bool)
+
+    def loss(b: np.ndarray) -> float:
+        z = m @ b
+        return float(np.logaddexp(0, z).sum() - y @ z + ridge / 2 * (b @ b))
+
+    while True:
+        beta = np.zeros(m.shape[1])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(m @ beta, -50, 50)))
+            grad = m.T @ (y - p) - ridge * beta
+            part = m[:, use]
+            step = np.zeros_like(beta)
+            step[use] = np.linalg.solve((part * (p * (1 - p))[:, None]).T @ part + ridge * np.eye(part.shape[1]), grad[use])
+            now, size = loss(beta), 1.0
+            while loss(beta + size * step) > now + 1e-12 and size > 1e-6:
+                size /= 2
+            beta += size * step
+            if np.abs(size * step).max() < 1e-9:
+                break
+        low = int(beta[1:].argmin()) + 1
+        if beta[low] >= 0:
+            return beta
+        use[low] = False
 
 
 def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -367,7 +383,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 for i, row in zip(at, first.tolist()):
                     if told[i] >= 0.5 and i not in why:
                         hashes = t.hash[t.offs[row] : t.offs[row + 1]]
-                        why[i] = [t.word(int(t.offs[row] + np.flatnonzero(hashes == m.hashes[x])[0])).decode() for x in m.reasons(rows[row], near[i], who[i])]
+                        why[i] = [t.word(int(t.offs[row] + np.flatnonzero(hashes == m.hashes[x])[0])).decode() for x in m.reasons(rows[row], who[i])]
                 scores += told[at].tolist()
                 near_ids += [[m.ids[x] for x in who[i, :3] if x >= 0] for i in at]
                 words += [why.get(i, []) for i in at]

@@ -458,32 +458,71 @@ def test_toxicity(spark, docs, none):
     got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
     held = [(got[i]["predicted"], t) for i, t in y if zlib.crc32(str(i).encode()) % 5 == 0]
     assert len(held) > 50 and sum(p == t for p, t in held) >= 0.97 * len(held)
-    assert got[1000]["score"] == got[1001]["score"] < 0.3 and got[None]["predicted"] == 1 and got[None]["neighbours"]
-    assert set(model.words) >= {"vile", "rotten", "filthy", "nasty"}
+    assert got[1000]["score"] == got[1001]["score"] < 0.3 and not got[1000]["neighbours"]
+    assert got[None]["predicted"] == 1 and got[None]["neighbours"]
+    said = collections.Counter(w for i, t in y if t and got[i]["predicted"] for w in got[i]["terms"])
+    assert {w for w, _ in said.most_common(4)} == {"vile", "rotten", "filthy", "nasty"}
+    assert all(r["neighbours"] for r in got.values() if words(r["text"])) and all(r["extra"] == "x" for r in got.values())
     for few in (labels.limit(0), labels.filter("toxic = 1")):
         s = toxicity.score(docs, toxicity.train(docs, few)).collect()
         assert len(s) == len(ROWS) and all(0 <= r["score"] <= 1 for r in s)
     assert toxicity.score(none, model).count() == 0
-
-
-def test_index_equals_brute_force():
-    rng = np.random.default_rng(8)
-    vectors = []
-    for _ in range(500):
-        t = np.sort(rng.choice(40, rng.integers(1, 8), replace=False))
-        w = rng.uniform(0.1, 1, len(t))
-        vectors.append((t, w / np.sqrt((w * w).sum())))
-    dense = np.zeros((500, 40))
-    for i, (t, w) in enumerate(vectors):
-        dense[i, t] = w
-    index = toxicity.BlockMaxIndex(vectors, 40)
-    for i in range(0, 500, 7):
-        want = np.sort(np.delete(dense @ dense[i], i))[::-1][:10]
-        got = [x[0] for x in index.nearest(*vectors[i], 10, i)]
-        assert np.allclose(got, want[: len(got)]) and (len(got) == 10 or want[len(got)] == 0)
-
-
-def test_a_near_copy_is_found_by_words_that_are_not_telling(spark):
+    kept = toxicity.clean(clashing(df, "row", "neighbours"), model)
+    assert kept.columns == [*df.columns, "row", "neighbours"] and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["predicted"]}
+
+
+def test_scores_equal_brute_force(spark):
+    rows, y = labelled(220)
+    rows += [(500, rows[0][1]), (501, rows[1][1] + " and more"), (502, None), (503, " . "), (504, prose(77, 20_000, 2000)), (2, "a second text of id 2")]
+    y += [(500, 1), (501, None), (502, 0)]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(y, "doc_id long, toxic int"))).collect()
+    two = {r["h"]: r["text"] for r in spark.createDataFrame([r for r in rows if r[0] == 2], "doc_id long, text string").selectExpr("xxhash64(text) h", "text").collect()}
+    text = {i: t for i, t in rows} | {2: two[min(two)]}
+    sample, seen = [], set()
+    for i, t in sorted((i, t) for i, t in y if t is not None and zlib.crc32(str(i).encode()) % 5):
+        if (text[i] or "") not in seen:
+            seen.add(text[i] or "")
+            sample.append((i, t))
+    n = len(rows)
+    df = collections.Counter(w for _, t in rows for w in set(words(t)))
+    known = {w for i, _ in sample for w in words(text[i])}
+
+    def vector(t):
+        v = {w: c * (1 + toxicity.SATURATION) / (c + toxicity.SATURATION) * math.log((n + 1) / (df[w] + 1)) for w, c in collections.Counter(words(t)).items() if w in known}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()} if size else v
+
+    held = [(vector(text[i]), t, i) for i, t in sample]
+    empty = [t for v, t, _ in held if not v]
+    rate = sum(t for _, t in sample) / len(sample)
+    none = (sum(empty) + rate) / (len(empty) + 1)
+    bad = sum(t for _, t in sample)
+    radii = [15 * 2**j for j in range(10) if 15 * 2**j <= 2 * min(bad, len(sample) - bad)]
+    assert len(radii) > 1
+
+    def nearest(v, but=None):
+        return sorted(((-round(sum(x * u.get(w, 0) for w, x in v.items()), 12), k) for k, (u, _, _) in enumerate(held) if k != but))
+
+    def votes(v, but=None):
+        near = [(-c, k) for c, k in nearest(v, but) if c < -1e-12]
+        out = []
+        for j, k in enumerate(radii):
+            w = [c / max(1 - c, 0.01) if j == 0 else c for c, _ in near[:k]]
+            p = (sum(x * held[e][1] for x, (_, e) in zip(w, near)) + none) / (sum(w) + 1)
+            p = min(max(p, 1e-3), 1 - 1e-3)
+            out.append(math.log(p / (1 - p)))
+        return out, [held[e][2] for _, e in near[:3]]
+
+    x = np.array([votes(v, k)[0] for k, (v, _, _) in enumerate(held)])
+    line = toxicity.logistic((x - x.mean(0)) / (x.std(0) + 1e-9), np.array([t for _, t, _ in held], float))
+    want = []
+    for i, t in rows:
+        v, ids = votes(vector(t))
+        want.append((i, round(1 / (1 + math.exp(-(line[0] + ((np.array(v) - x.mean(0)) / (x.std(0) + 1e-9)) @ line[1:]))), 6), ids))
+    assert sorted(((r["doc_id"], round(r["score"], 6), r["neighbours"]) for r in got)) == sorted(want)
+
+
+def test_a_near_copy_is_found_by_any_words(spark):
     rows, y = labelled()
     n = len(rows)
     rare = " ".join(f"rare{i}" for i in range(40))
@@ -492,28 +531,31 @@ def test_a_near_copy_is_found_by_words_that_are_not_telling(spark):
         docs[n] = (docs[n][0] + 1000, rare)
     model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*y, (docs[n][0], 1)], "doc_id long, toxic int"))
     got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
-    assert got[n + 1]["predicted"] == 1 and got[n + 1]["neighbours"][0] == docs[n][0] and not got[n + 1]["terms"]
+    assert got[n + 1]["predicted"] == 1 and got[n + 1]["neighbours"][0] == docs[n][0] and all(w.startswith("rare") for w in got[n + 1]["terms"])
     assert got[n + 2]["predicted"] == 0
 
 
-@pytest.mark.parametrize("share", [0.0, 0.08, 1.0])
-def test_index_of_all_words_equals_brute_force(monkeypatch, share):
+@pytest.mark.parametrize(("share", "block", "first"), [(0.0, 8, 0.1), (0.08, 4, 1.0), (0.08, 64, 2.0), (1.0, 16, 1.0)])
+def test_index_equals_brute_force(monkeypatch, share, block, first):
     monkeypatch.setattr(toxicity, "COMMON", share)
-    monkeypatch.setattr(toxicity, "POSTINGS", 50)
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "FIRST", first)
+    monkeypatch.setattr(toxicity, "TEXTS", 37)
     rng = np.random.default_rng(9)
     dense = np.zeros((300, 200))
-    for row in dense:
-        row[rng.zipf(1.3, 20) % 200] = rng.uniform(0.1, 1)
+    for k, row in enumerate(dense):
+        row[rng.zipf(1.3, 20) % 100 + 100 * (k % 2)] = rng.uniform(0.1, 1)
         row /= np.sqrt((row**2).sum())
     dense[7] = dense[3]
     vectors = [(np.flatnonzero(row), row[row > 0]) for row in dense]
-    got = toxicity.CosineIndex(vectors, 200).nearest(vectors, 10, np.arange(300))
-    for i, best in enumerate(got):
+    index = toxicity.BlockMaxIndex(vectors, 200)
+    near, who = index.nearest(vectors, 10, np.arange(300))
+    for i in range(300):
         want = dense @ dense[i]
         want[i] = 0
-        want = sorted(((-c, j) for j, c in enumerate(want) if c > 0))[:10]
-        assert np.allclose([c for c, _ in best], [-c for c, _ in want], atol=1e-12) and len(best) == len(want)
-        assert all(np.isclose(dense[i] @ dense[j], c) for c, j in best)
+        want = sorted(((-round(c, 12), j) for j, c in enumerate(want) if c > 1e-12))[:10]
+        assert np.allclose(near[i, : len(want)], [-c for c, _ in want], atol=1e-11) and who[i, : len(want)].tolist() == [j for _, j in want] and (who[i, len(want) :] == -1).all()
+    assert index.opened <= 300 * index.blocks
 
 
 # ---------------------------------------------------------------- shared
