@@ -6,6 +6,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import json
+import mmap
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -106,6 +109,34 @@ def write_file(uri: str, name: str, chunks: list[bytes]) -> None:
             out.write(c)
 
 
+def store_arrays(uri: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """One file: the header's length, the header (names, types, places), the arrays from multiples of 64 bytes on."""
+    head, at = {}, 0
+    for k, v in arrays.items():
+        head[k] = [v.dtype.str, len(v), at]
+        at += -(-v.nbytes // 64) * 64
+    raw = json.dumps(head).encode()
+    raw += b" " * (-(len(raw) + 8) % 64)
+    with new_file(uri, name) as out:
+        out.write(len(raw).to_bytes(8, "little") + raw)
+        for v in arrays.values():
+            out.write(v.tobytes() + bytes(-v.nbytes % 64))
+
+
+def load_arrays(uri: str) -> tuple[dict[str, np.ndarray], bool]:
+    """(arrays, whether they are mapped): mapped in place where the folder is a mounted one, else read into memory."""
+    fsys, path = filesystem(uri)
+    mapped = os.path.exists(path)
+    if mapped:
+        with open(path, "rb") as f:
+            raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    else:
+        with fsys.open_input_file(path) as f:
+            raw = f.read()
+    n = int.from_bytes(raw[:8], "little")
+    return {k: np.frombuffer(raw, kind, size, 8 + n + at) for k, (kind, size, at) in json.loads(raw[8 : 8 + n]).items()}, mapped
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow, after which a worker gives back what it no longer needs: workers live on from stage to stage."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +154,11 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of a row as one, so that names added beside it cannot clash; ``select("row.*")`` undoes it."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
 def lowered(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 

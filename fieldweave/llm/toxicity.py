@@ -395,7 +395,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that are not predicted toxic, their columns untouched."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    rows = docs.select(C.packed(docs), "text")
     return score(rows, model).filter("predicted = 0").select("row.*")
 
 
