@@ -11,7 +11,8 @@ cut falls is ranked, however many documents share a length.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last; sources without words have
 target 0; an empty table gives no rows; repeated rows are documents of their own (a repeated id in equal rows is
-ordered arbitrarily among its equals, which are interchangeable).
+ordered arbitrarily among its equals, which are interchangeable); a text longer than the dynamic program's range is
+settled in units of some words; ``mix`` ignores extra columns, ``repeat`` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ from . import common as C
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = 20240607
-#: Buckets of the seeded order; the dynamic program settles at most so many words.
-BUCKETS = 256
-LEFT_WORDS = 1 << 20
+BUCKETS = 256  # of the seeded order
+#: The dynamic program has sums of up to so many units (words, but where a text alone is longer); so many documents of
+#: a length, of those that its share gives, are left to it.
+RANGE, FREED = 1 << 24, 16
+THOUSAND = 1000
 
 
 def words(text: Column) -> Column:
@@ -53,62 +56,79 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     return rows.select("source", "source_size", F.least("limit", F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: float, left_words: int = LEFT_WORDS) -> np.ndarray:
-    """How many documents of each length to take, so that their lengths sum as near to the budget as can be found."""
-    take = np.zeros(len(lengths), np.int64)
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: float, most: int = RANGE) -> np.ndarray:
+    """How many documents of each length to take, so that their lengths sum as near to the budget as can be found: the
+    same share of every length, less some that the knapsack is free to choose anew."""
     whole = int((lengths * counts).sum())
     if budget <= 0 or not whole:
-        return take
+        return np.zeros(len(lengths), np.int64)
     if budget >= whole:
         return np.where(lengths > 0, counts, 0)
-    share = budget / whole
-    take = np.where(lengths > 0, np.floor(counts * share), 0).astype(np.int64)
-    left = budget - float((lengths * take).sum())
-    free = np.where(lengths > 0, counts - take, 0)
-    for i in np.argsort(-lengths, kind="stable"):  # large lengths first, while much is left
-        bound = max(left_words / 4, 2.0 * lengths[i])
-        if left <= bound:
-            continue
-        k = min(int(free[i]), int((left - bound) // max(1, lengths[i])) + 1, int(left // max(1, lengths[i])))
-        take[i] += k
-        free[i] -= k
-        left -= float(k * lengths[i])
-    return take + knapsack(lengths, free, left, left_words)
-
-
-def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: float, left_words: int) -> np.ndarray:
-    """Bounded knapsack: reachable sums as a bit set, multiplicities split in powers of two, taken back from the sum
-    nearest to the budget."""
-    most = int(min(budget + lengths.max(initial=0) + 1, 2 * left_words))
-    mask = (1 << (most + 1)) - 1
+    share = np.where(lengths > 0, np.floor(counts * (budget / whole)), 0).astype(np.int64)
+    best = share
+    for freed in (FREED, whole):  # few of each length first; if that does not meet the budget, as many as can be settled
+        take, slack = share.copy(), most // 64
+        for i in np.argsort(lengths, kind="stable"):
+            k = min(int(take[i]), freed, max(slack // max(1, int(lengths[i])), 1))
+            take[i] -= k
+            slack = max(0, slack - k * int(lengths[i]))
+        left = budget - float((lengths * take).sum())
+        free = np.where(lengths > 0, counts - take, 0)
+        for i in np.argsort(-lengths, kind="stable"):  # large lengths first, while much is left
+            bound = max(most / 64, 2.0 * lengths[free > 0].max(initial=0))
+            if left <= bound:
+                break
+            k = min(int(free[i]), int((left - bound) // max(1, lengths[i])) + 1, int(left // max(1, lengths[i])))
+            take[i] += k
+            free[i] -= k
+            left -= float(k * lengths[i])
+        take += knapsack(lengths, free, left, most)
+        best = min(best, take, key=lambda t: abs(float((lengths * t).sum()) - budget))
+        if abs(float((lengths * best).sum()) - budget) <= 0.5:
+            break
+    return best
+
+
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: float, most: int = RANGE) -> np.ndarray:
+    """Bounded knapsack: multiplicities are split in powers of two, reachable sums are a bit set, and each sum keeps
+    the first item that reached it, by which the sum nearest to the budget is taken back. Sums of more than ``most``
+    words are counted in units of some words; what that leaves is settled in finer ones."""
+    take = np.zeros(len(lengths), np.int64)
+    some = (counts > 0) & (lengths > 0)
+    if budget <= 0 or not some.any():
+        return take
+    top = int(budget) + int(lengths[some].max()) + 1
+    unit = -(-top // most)
+    sizes, goal, top = (lengths + unit // 2) // unit, budget / unit, top // unit + 1
+    mask, reached = (1 << (top + 1)) - 1, 1
     items: list[tuple[int, int]] = []
-    sums = [1]
-    gap = int(round(budget))
+    first = np.full(top + 8, -1, np.int32)
     for i in np.argsort(lengths, kind="stable"):
-        size, free, step = int(lengths[i]), int(counts[i]), 1
-        while free and 0 < size * step <= most:
+        size, free, step = int(sizes[i]), int(counts[i]) if some[i] else 0, 1
+        while free and size and size * min(step, free) <= top:
             step = min(step, free)
-            if size * step > most:
-                break
-            new = sums[-1] | (sums[-1] << (size * step)) & mask
-            if new != sums[-1]:
+            new = (reached | reached << (size * step)) & mask
+            if fresh := new ^ reached:
+                low = ((fresh & -fresh).bit_length() - 1) // 8
+                bits = np.unpackbits(np.frombuffer((fresh >> 8 * low).to_bytes((top + 8) // 8 - low, "little"), np.uint8), bitorder="little")
+                first[8 * low : 8 * low + len(bits)][bits.astype(bool)[: len(first) - 8 * low]] = len(items)
                 items.append((int(i), step))
-                sums.append(new)
+                reached = new
             free -= step
             step *= 2
-        if len(items) > 64 and sums[-1] >> min(gap, most) & 1:  # reached exactly
+        if goal == int(goal) and reached >> int(goal) & 1:  # no sum is nearer
             break
-    reached = sums[-1]
-    low = (reached & ((1 << (min(gap, most) + 1)) - 1)).bit_length() - 1
-    above = reached >> (gap + 1)
-    high = gap + 1 + ((above & -above).bit_length() - 1) if above else None
-    at = high if high is not None and high - budget < budget - low else low
-    take = np.zeros(len(lengths), np.int64)
-    for k in range(len(items) - 1, -1, -1):
-        if not sums[k] >> at & 1:
-            i, step = items[k]
-            take[i] += step
-            at -= int(lengths[i]) * step
+    low = (reached & ((1 << (int(goal) + 1)) - 1)).bit_length() - 1
+    above = reached >> (int(goal) + 1)
+    high = int(goal) + 1 + ((above & -above).bit_length() - 1) if above else None
+    at = high if high is not None and high - goal < goal - low else low
+    while at:
+        i, step = items[first[at]]
+        take[i] += step
+        at -= int(sizes[i]) * step
+    left = budget - float((lengths * take).sum())
+    if unit > 1 and 0 < left < budget / 2:
+        take += knapsack(lengths, np.where(lengths <= 2 * left, counts - take, 0), left, most)
     return take
 
 
@@ -161,21 +181,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
 def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
     """The documents, each row as often as the mix takes it. The number of repeats is a function of the source and
     length's plan and the row's place in the seeded order, so only the narrow table of repeats meets the texts. Rows
-    without a word cost no budget and are taken as often as their source's whole passes, and once more if the plan has it."""
-    rid = F.xxhash64("doc_id", "source", "text")
-    times = mix(docs.withColumn("_rid", rid), weights, most, seed, extra=("_rid",))
-    times = times.filter("times > 0").select("_rid", F.col("times").cast("int").alias("_n"))
-    # rows equal in all that counts share a row id: together they have the sum of the repeats
-    times = C.materialise(times.groupBy("_rid").agg(F.sum("_n").alias("_n"), F.count("*").alias("_c")), "repeats")
-    out = docs.withColumn("_rid", rid).join(times, "_rid")
-    if times.filter("_c > 1").isEmpty():
-        share = F.col("_n")
-    else:
-        nth = F.row_number().over(Window.partitionBy("_rid").orderBy(F.lit(0)))
-        out = out.withColumn("_i", nth)
-        share = F.floor(F.col("_n") / F.col("_c")) + (F.col("_i") <= F.col("_n") % F.col("_c")).cast("long")
-    out = out.withColumn("_share", share.cast("int")).filter("_share > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_share")).alias("_k")).drop("_k")
+    without a word cost no budget and are taken as often as their source's whole passes, and once more if the plan has it.
+    Equal rows are one row that has the sum of their repeats; columns pass through whatever their names."""
+    kept = docs.select(C.packed(docs), "doc_id", "source", "text").withColumn("rid", F.xxhash64("row"))
+    times = mix(kept.select("doc_id", "source", "text", "rid"), weights, most, seed, extra=("rid",)).filter("times > 0")
+    times = C.materialise(times.groupBy("rid").agg(F.sum("times").alias("times"), F.count("*").alias("rows")), "repeats")
+    rows = kept.select("rid", "row")
+    if not times.filter("rows > 1").isEmpty():
+        rows = rows.dropDuplicates(["rid"])
+    out = rows.join(times.select("rid", "times"), "rid")
+    # by thousands, as equal rows may be any number
+    out = out.select("row", "times", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / THOUSAND))).alias("k"))
+    some = F.least(F.lit(THOUSAND).cast("long"), F.col("times") - F.col("k") * THOUSAND).cast("int")
+    return out.select("row", F.explode(F.sequence(F.lit(1), some)).alias("k")).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
