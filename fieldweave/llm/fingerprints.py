@@ -28,7 +28,7 @@ from . import common as C
 BINS = 128
 #: Levels whose names make up the fingerprint; finer ones are shared by all texts of a language. Names of the
 #: level after the first count more, as there are fewer of them.
-FIRST_LEVEL, LAST_LEVEL, COPIES = 2, 5, 3
+FIRST_LEVEL, COPIES = 2, 3
 #: Bytes of text parsed at once.
 CHUNK = 1 << 20
 
@@ -82,7 +82,9 @@ def sketches(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     least = np.full(n * BINS, np.iinfo(np.uint64).max, np.uint64)
     sym, at = data, offs
     active = np.ones(n, bool)  # a text ends with the level at which it is one phrase
-    for k in range(1, LAST_LEVEL + 1):
+    k = 0
+    while active.any():
+        k += 1
         sym, at = level(sym, at, k)
         if k < FIRST_LEVEL:
             continue
@@ -93,8 +95,6 @@ def sketches(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
                 h = C.mix(sym[use] + np.uint64(1000 * k + copy))
             np.minimum.at(least, doc[use] * BINS + (h >> np.uint64(57)).astype(np.int64), h & np.uint64((1 << 57) - 1))
         active &= np.diff(at) > 1
-        if not active.any():
-            break
     least = least.reshape(n, BINS)
     out = (C.mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
     out[out == 0] = 1
