@@ -279,13 +279,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
 
 
 def dedupe(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The documents, one of each class: that of the least id."""
-    kept = C.materialise(join(docs, threshold, recall).filter("kept").select(F.col("rid").alias("_rid")), "kept")
-    keyed = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
-    out = keyed.join(kept.distinct(), "_rid", "left_semi")
+    """The documents, one of each class: that of the least id. Columns pass through whatever their names."""
+    kept = C.materialise(join(docs, threshold, recall).filter("kept").select("rid"), "kept")
+    out = docs.select(C.packed(docs), F.xxhash64("doc_id", "text").alias("rid")).join(kept.distinct(), "rid", "left_semi")
     if kept.count() > kept.distinct().count():  # rows equal in id and text
-        out = out.dropDuplicates(["_rid"])
-    return out.drop("_rid")
+        out = out.dropDuplicates(["rid"])
+    return out.select("row.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
