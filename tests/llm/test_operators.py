@@ -128,11 +128,27 @@ def test_mixing(docs, none):
     for r in rows:
         assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(goal[r["source"]]) and 0 <= r["taken"] <= 3 * r["size"]
         took[r["source"]] += r["taken"]
-    assert mixing.mix(none).count() == 0
-    kept = mixing.repeat(docs).collect()
+    for source, total in took.items():  # as near as whole passes and any subset of the documents come
+        sums = {0}
+        for _, t, _, s, _ in ROWS:
+            sums |= {x + len(SPACE.findall(t or "")) for x in sums} if s == source else set()
+        rest = goal[source] - goal[source] // sizes[source] * sizes[source] if sizes[source] else 0
+        assert abs(total - goal[source]) <= min(abs(x - rest) for x in sums) + 1e-6
+    assert mixing.mix(none).count() == mixing.repeat(none).count() == 0
+    names = ("row", "rid", "times", "k", "size")
+    kept = mixing.repeat(clashing(docs, *names)).collect()
+    assert kept[0].asDict().keys() == {*docs.columns, *names} and all(r["rid"] == "x" for r in kept)
     assert sum(len(SPACE.findall(r["text"] or "")) for r in kept) == sum(took.values())
 
 
+def test_equal_rows_share_their_repeats(spark):
+    docs = spark.createDataFrame([(1, "a", "one two three")] * 2500 + [(2, "b", prose(1, 100))] * 3 + [(3, "b", "x y")], "doc_id long, source string, text string")
+    want = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"]] += r["times"]
+    assert collections.Counter(r["doc_id"] for r in mixing.repeat(docs).collect()) == +want
+
+
 def test_rows_without_a_word_are_repeated_as_the_mix_has_them(spark):
     kinds = "doc_id long, source string, text string"
     docs = spark.createDataFrame([(i, "ab"[i % 2], prose(i, 30)) for i in range(40)] + [(100, "a", None), (101, "b", ""), (102, "a", " \n")], kinds)
@@ -150,10 +166,17 @@ def test_fit_is_as_near_as_any_subset(seed):
     for n, c in zip(lengths, counts):
         sums = {s + k * int(n) for s in sums for k in range(int(c) + 1)}
     for budget in rng.uniform(0, float((lengths * counts).sum()), 10):
-        take = mixing.knapsack(lengths, counts, budget, mixing.LEFT_WORDS)
-        assert (take <= counts).all() and abs((take * lengths).sum() - budget) <= min(abs(s - budget) for s in sums) + 1
-        take = mixing.fit(lengths, counts, budget)
-        assert (take >= 0).all() and (take <= counts).all() and abs((take * lengths).sum() - budget) <= lengths.max()
+        for take in (mixing.knapsack(lengths, counts, budget), mixing.fit(lengths, counts, budget)):
+            assert (take >= 0).all() and (take <= counts).all() and abs((take * lengths).sum() - budget) <= min(abs(s - budget) for s in sums) + 1e-6
+
+
+@pytest.mark.parametrize(("lengths", "counts", "budget", "want"), [
+    ([3_000_000], [2], 5_900_000, 6_000_000), ([5, 3_000_000], [10, 4], 11_900_000, 12_000_000), ([5, 3_000_000], [10, 4], 11_400_000, 12_000_000),
+    ([5, 3_000_000], [10, 4], 10_400_000, 9_000_050), ([7, 900_000_000], [1000, 3], 1_800_000_700, 1_800_000_700), ([900_000_000], [3], 1_300_000_000, 900_000_000),
+])
+def test_very_long_texts_come_as_near_as_they_can(lengths, counts, budget, want):
+    take = mixing.fit(np.array(lengths), np.array(counts), float(budget))
+    assert (take <= counts).all() and (take * lengths).sum() == want
 
 
 def test_fit_is_exact_on_a_large_histogram():
@@ -168,7 +191,7 @@ def test_fit_is_exact_on_a_large_histogram():
 
 ITEMS = [
     (1, " ".join(f"q{i}" for i in range(25))), (2, "Short ITEM here"), (3, "q0 q1 q2 q3 q4 q5 q6 q7 q8 q9 z"), (10, None), (11, " ... "),
-    (4, " ".join(["rep"] * 14)), (5, "single"),
+    (4, " ".join(["rep"] * 14)), (5, "single"), (2, "SHORT item... here"), (None, "Short ITEM here"),
 ]
 LEAKY = [
     (1, "x " + " ".join(f"Q{i}" for i in range(12)) + " y"), (2, "a short, item; HERE b short item"), (3, " ".join(["rep"] * 11)), (4, None), (5, "q0 q1 q2 q3 q4 q5 q6 q7 q8"),
@@ -177,30 +200,43 @@ LEAKY = [
 
 
 def hits(text, items, window=10):
-    w, hit, who = words(text), set(), set()
+    w, hit, who = words(text), set(), []
     for i, t in items:
+        got = False
         q = words(t)
         m = min(window, len(q))
         for s in range(len(q) - m + 1) if m else ():
             for k in range(len(w) - m + 1):
                 if w[k : k + m] == q[s : s + m]:
                     hit |= set(range(k, k + m))
-                    who.add(str(i))
+                    got = True
+        who += ["" if i is None else str(i)] * got
     return len(w), len(hit), sorted(who)
 
 
 @pytest.mark.parametrize("block", [2_000_000, 20])
 def test_decontamination(spark, block):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    docs = clashing(spark.createDataFrame(LEAKY, "doc_id long, text string"), "n_words", "spans", "extra")
+    docs = clashing(spark.createDataFrame(LEAKY, "doc_id long, text string"), "n_words", "spans", "cut", "extra")
     rows = decontamination.scan(docs, items, block_words=block).collect()
     assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in rows) == sorted((i, *hits(t, ITEMS)) for i, t in LEAKY)
 
 
+def test_blocks_that_cannot_be_mapped_are_read(spark, monkeypatch):
+    monkeypatch.setattr(common.os.path, "exists", lambda _: False)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    folder = common.shared_path(spark, "automata")
+    for name in decontamination.build(items, folder, block_words=10):
+        got, mapped = common.load_arrays(f"{folder}/{name}")
+        assert not mapped and len(got["hash"]) and decontamination.automaton(f"{folder}/{name}") is not decontamination.automaton(f"{folder}/{name}")
+
+
 def test_cleaning(spark, docs, none):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     leaky = spark.createDataFrame([(1, BASE + " " + ITEMS[0][1] + ". End", "en", "a", 1), (2, ITEMS[0][1], "en", "a", 2)], KIND)
-    rows = decontamination.clean(leaky.unionByName(docs), items).collect()
+    names = ("items", "n_words", "n_hit", "spans", "cut", "row")
+    rows = decontamination.clean(clashing(leaky.unionByName(docs), *names), items).collect()
+    assert all(r[n] == "x" for r in rows for n in names)
     assert rows[0]["text"] == BASE + " . End" and rows[0]["n_chars"] == len(BASE) + 6 and len(rows) == len(ROWS) + 1
     assert decontamination.clean(none, items).count() == 0 and decontamination.clean(docs, items.limit(0)).count() == len(ROWS)
 
@@ -263,8 +299,9 @@ def test_jaccard_join(spark, docs, none):
     got = collections.Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.join(df).collect())
     want, classes = brute_links(rows)
     assert got == want
-    kept = jaccard_join.dedupe(df).collect()
-    assert len(kept) == classes
+    names = ("rid", "_rid", "row", "kept")
+    kept = jaccard_join.dedupe(clashing(df, *names)).collect()
+    assert len(kept) == classes and all(r[n] == "x" for r in kept for n in names)
     assert jaccard_join.join(none).count() == 0 and jaccard_join.dedupe(docs).columns == docs.columns
 
 
