@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,10 +23,6 @@ def clip(x: Column, low: float | Column, high: float | Column) -> Column:
     return F.greatest(as_column(low), F.least(as_column(high), x))
 
 
-def linspace(low: Column, high: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: low + i * (high - low) / n)
-
-
 def stretch(x: Column, low: Column, high: Column) -> Column:
     """x between two percentiles as 0 to 1; a flat range is widened by 0.05 each way."""
     flat = high - low < 1e-6
@@ -109,7 +103,3 @@ def sizing(area: Column, target: Column, valid: Column) -> dict[str, Column]:
 
 def lonlat_valid(ring: Column) -> Column:
     return (F.size(ring) >= 3) & F.forall(ring, lambda p: p["lon"].between(-180, 180) & p["lat"].between(-90, 90))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -112,6 +112,9 @@ SQL = {
         b AS (SELECT *, least(CAST(4.0 AS DOUBLE), target * CAST(1.25 AS DOUBLE)) AS most, target * CAST(0.75 AS DOUBLE) AS few, area / valid AS pixel FROM a)
         SELECT field_id, valid, CAST(greatest(CASE WHEN area <= target THEN 1 ELSE 2 END, least(greatest(12, ceil(area / most)), ceil(area / target))) AS INT) AS n_zones,
         CAST(greatest(1, floor(most / pixel)) AS INT) AS max_px, CAST(greatest(1, floor(few / pixel)) AS INT) AS min_px FROM b""",
+    "raster_sizes": """WITH k AS (SELECT CAST(s_suppkey AS BIGINT) AS k, CAST(5.0 AS DOUBLE) + s_suppkey % 20 AS res FROM supplier),
+        m AS (SELECT k, CAST(2.5 AS DOUBLE) * (k * 37 % 9000) / res AS w, CAST(2.5 AS DOUBLE) * (k * 91 % 9000) / res AS h FROM k)
+        SELECT k AS field_id, CAST(least(512, greatest(16, round_even(w, 0))) AS INT) AS width, CAST(least(512, greatest(16, round_even(h, 0))) AS INT) AS height FROM m""",
     "bisection_zones": bisection([]),
     "mask_components4": components(MOVES),
     "mask_components8": components(MOVES8),

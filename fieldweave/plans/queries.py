@@ -121,6 +121,13 @@ def zone_sizing(spark: SparkSession, sf: str) -> DataFrame:
         "field_id", "valid", s["n_zones"].alias("n_zones"), s["max_px"].alias("max_px"), s["min_px"].alias("min_px"))
 
 
+def raster_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """The sides of a request's raster: metres by the resolution, halves to even, within the limits."""
+    k = F.col("field_id")
+    side = lambda m: S.raster_side((k * m % 9000) * 2.5, 5.0 + k % 20)
+    return fields(spark, sf).select("field_id", side(37).alias("width"), side(91).alias("height"))
+
+
 def bisection_zones(spark: SparkSession, sf: str) -> DataFrame:
     return raster.bisect(masked(spark, sf).filter("inside"), 5)
 
@@ -287,15 +294,13 @@ def request_validation(spark: SparkSession, sf: str) -> DataFrame:
     """Requests drawn from customers: each rule that fails is named."""
     c = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"))
     k = F.col("request_id")
-    q = c.select("request_id", (k * 13 % 3000).alias("width"), (k * 7 % 2600).alias("height"), (k % 120 - 10).cast("double").alias("max_cloud"), (k % 6 - 1).cast("double").alias("target"),
-                 (k % 110).cast("double").alias("resolution"), (k % 12).cast("double").alias("smoothing"), (k % 18).alias("points"), (k * 3 % 400 - 200).cast("double").alias("lon"), (k % 4 == 0).alias("single"), (k % 3 == 0).alias("part"))
-    rules = {
-        "width": ~F.col("width").between(1, 2500), "height": ~F.col("height").between(1, 2500), "max_cloud_cover": ~F.col("max_cloud").between(0, 100),
-        "target_plot_size_ha": F.col("target") <= 0, "resolution_m": (F.col("resolution") <= 0) | (F.col("resolution") > 100),
-        "line_smoothing": (F.col("smoothing") <= 0) | (F.col("smoothing") > 10), "max_sample_points_per_zone": ~F.col("points").between(0, 15),
-        "polygon": ~F.col("lon").between(-180, 180), "single_zone_override": F.col("single") & F.col("part"),
-    }
-    errors = F.array_join(F.filter(F.array(*(F.when(bad, name) for name, bad in rules.items())), lambda e: e.isNotNull()), ",")
+    near = F.array(*(F.struct((k * 3 % 400 - 200 + x).cast("double").alias("lon"), F.lit(y).alias("lat")) for x, y in ((0, 1.0), (0, 2.0), (0, 3.0))))
+    some = F.array(*(F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((1.0, 1.0), (2.0, 1.0), (2.0, 2.0))))
+    q = c.select("request_id", (k * 13 % 3000).alias("width"), (k * 7 % 2600).alias("height"), (k % 120 - 10).cast("double").alias("max_cloud_cover"), (k % 6 - 1).cast("double").alias("target_plot_size_ha"),
+                 (k % 110).cast("double").alias("resolution_m"), (k % 12).cast("double").alias("line_smoothing"), (k % 18).alias("max_sample_points_per_zone"), near.alias("polygon"),
+                 F.when(k % 3 == 0, some).alias("zone_polygon"), (k % 4 == 0).alias("single_zone_override"))
+    q = api.image_problems(api.problems(api.with_defaults(q)).withColumnRenamed("errors", "zone_errors"))
+    errors = F.array_join(F.array_intersect(F.array(*map(F.lit, api.RULES)), F.concat("errors", "zone_errors")), ",")
     return q.select("request_id", errors.alias("errors"), F.when(errors == "", "OK").otherwise("INVALID").alias("status"))
 
 
@@ -374,10 +379,10 @@ def field_zones(spark: SparkSession, sf: str) -> DataFrame:
     shape = polygons.polygons_of(z.select("field_id", "r", "c", "zone"), N, N)
     way = F.when(F.col("reversed"), F.reverse("p")).otherwise(F.col("p"))
     rows = stats.join(at, ["field_id", "zone"], "left").join(trip, ["field_id", "zone"], "left").join(shape, ["field_id", "zone"], "left")
-    feature = F.struct("visit", "zone_id", "ndvi_mean", "ndvi_min", "ndvi_max", "n", F.transform(way, lambda q: F.array(q["c"], q["r"])).alias("sample_points"),
-                       F.struct(F.lit("Polygon").alias("type"), F.transform("rings", lambda g: F.transform(g, lambda q: F.array(q["x"], q["y"]))).alias("coordinates")).alias("geometry"))
+    told = F.struct("zone_id", "ndvi_mean", "ndvi_min", "ndvi_max", "n", F.transform(way, lambda q: F.array(q["c"], q["r"])).alias("sample_points"))
+    shown = F.transform("rings", lambda g: F.transform(F.concat(g, F.slice(g, 1, 1)), lambda q: F.array(q["x"], q["y"])))
     method = z.groupBy("field_id").agg(F.min("algorithm").alias("construction_algorithm"))
-    docs = rows.groupBy("field_id").agg(F.count("*").alias("n_zones"), F.sort_array(F.collect_list(feature)).alias("features")).join(method, "field_id")
+    docs = rows.groupBy("field_id").agg(F.count("*").alias("n_zones"), sinks.features(told, shown, "visit").alias("features")).join(method, "field_id")
     return docs.select("field_id", "n_zones", "construction_algorithm", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "n_zones", "construction_algorithm", "features")).alias("document"))
 
 
@@ -421,7 +426,7 @@ def ndvi_images(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     ndvi_field_stats, scene_candidates_top6, best_scene_least_cloud, best_scene_latest, best_vegetation_date, season_window, day_interval,
-    pixel_mask_rings, pixel_mask_edges, valid_field_stats, field_status, stretch_percentiles, ndvi_rgba, box_blur, zone_sizing, bisection_zones,
+    pixel_mask_rings, pixel_mask_edges, valid_field_stats, field_status, stretch_percentiles, ndvi_rgba, box_blur, zone_sizing, raster_sizes, bisection_zones,
     mask_components4, mask_components8, mask_runs, dilate4, outline_edges, mask_sets, zone_borders, zone_rank, zone_size_ratio, zone_rollup,
     safe_pixels, quantile_rows, distinct_values, pca_axis, path_metrics, utm_project, ring_area_utm, round_trip, coverage_area, bounding_boxes,
     cache_upsert_latest, cache_live, cache_lookup, request_validation, response_headers, scene_windows, raster_blobs, farthest_points,

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +23,11 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(here.parent)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(key)
+
+
+def grouped(df: DataFrame, *keys: str) -> GroupedData:
+    """Groups for a Python map, dealt over as many tasks as the session shuffles to. Such groups are few bytes and much
+    work; adaptive execution merges partitions by bytes and would put them all into one task."""
+    spark = df.sparkSession
+    ship(spark)
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
