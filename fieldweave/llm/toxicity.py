@@ -42,6 +42,7 @@ SATURATION = 1.0
 #: Of the index: examples a block, texts at once, from which share of the examples on a word is common and how many
 #: are at most, and how much more than the neighbours is opened at first. They decide the speed alone.
 BLOCK, TEXTS, COMMON, DENSE, FIRST = 64, 64, 0.1, 512, 2.0
+SLICE = 256
 #: Cosines that differ by less are ties.
 SAME = 1e-12
 SEED, TERMS = 11, 5
@@ -220,9 +221,9 @@ class Model:
             out.append(2 * out[-1])
         return out
 
-    def neighbours(self, rows: list[Vector], leave: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Given (terms, times); leave: the rows are the examples, each without itself."""
-        return self.index.nearest([self.vector(*r) for r in rows], max(self.radii()), np.arange(len(rows)) if leave else None)
+    def neighbours(self, rows: list[Vector], but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts given as (terms, times); but: for each an example that does not count."""
+        return self.index.nearest([self.vector(*r) for r in rows], max(self.radii()), but)
 
     def votes(self, near: np.ndarray, who: np.ndarray) -> np.ndarray:
         """The votes of each text's neighbours, a column a radius."""
@@ -242,7 +243,8 @@ class Model:
         self.none = float((y[empty].sum() + self.rate) / (empty.sum() + 1)) if len(y) else 0.0
         self.index = BlockMaxIndex([self.vector(*r) for r in rows], len(self.hashes))
         if self.both:
-            x = logit(self.votes(*self.neighbours(rows, True)))
+            # in slices: all neighbours at once would be many times as large as the examples
+            x = logit(np.concatenate([self.votes(*self.neighbours(rows[a : a + SLICE], np.arange(a, min(a + SLICE, len(rows))))) for a in range(0, len(rows), SLICE)]))
             self.middle, self.spread = x.mean(0), x.std(0) + 1e-9
             self.line = logistic((x - self.middle) / self.spread, y)
 
@@ -351,6 +353,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     (terms, offs), (times, _) = flat("terms"), flat("times")
     model.fit(found["doc_id"].to_pylist(), found["toxic"].to_numpy().astype(float), [(terms[x:y], times[x:y]) for x, y in zip(offs, offs[1:])])
+    del found, terms, times, count
+    C.trim()
     return model
 
 
