@@ -1,38 +1,40 @@
-"""Language-model scoring with an interpolated modified Kneser-Ney bigram model.
-
-Counting: each task counts its tokens and bigrams as sorted hash arrays and deals them out, packed, by ranges of the
-hash, so a shard is uniform whatever words are frequent. A shard's task merges its arrays, writes the bigrams as one
-sorted hash array with counts into the shared folder, and deals out, again packed and by hash range, what the word
-statistics need: a word's count, the number of different words before it, and, of the bigrams that it begins, the
-sum and the numbers counted once, twice and more often. These become the sorted hash arrays of the words.
-
-Scoring: workers memory-map the arrays (in place where the shared folder is a mounted one, else from a private copy
-whose name is gone before it is used) and look up each batch's distinct bigrams by binary search. The probability of
-w after v (Chen and Goodman 1998), with c the counts and D(1), D(2), D(3+) the discounts from the counts of counts:
-
-    p(w | v) = (c(vw) - D(c(vw))) / c(v.) + g(v) p(w),      g(v) = (D1 n1(v) + D2 n2(v) + D3 n3(v)) / c(v.)
-    p(w)     = (u(w) - E(u(w))) / u + g0 / (V + 1),         u(w) the different words before w, V the known words
-
-and g(v) = 1 for words never seen as v. Texts begin with a start mark, which is no word, and end with an end token.
-The order is two by intent: longer n-grams of a corpus of mostly new pairs nearly all occur once, and would multiply
-what is shuffled and kept.
-
-Defined cases: a null text is the empty text, and its score that of the end token; an empty training set gives the
-uniform distribution over the end token and the unknown word (score and base score 0 for N = V = 0); a null id counts
-as the empty text in the split; repeated rows count and are scored each; extra columns are ignored.
+"""Language-model scoring with an interpolated modified Kneser-Ney n-gram model, of order ``ORDER`` or any from 2 on.
+
+Counting goes down the orders. Each task counts its longest n-grams and deals them out, packed, by ranges of the hash
+of their context (their words but the last). A shard's task merges them, writes them as one sorted hash array with
+counts into the shared folder, and their contexts as another with, of the n-grams that each begins, the sum of the
+counts and how many are 1, 2, and 3 or more; it deals out the n-grams without their first word, whose counts are the
+numbers of different words before them. Word pairs are dealt by ranges of their own hash, so that a frequent word is no
+hot key; the sums over a word's pairs are dealt out once more, by the word.
+
+A sorted hash array keeps 32 bits of each hash behind an index of its first bits, chosen so that a bucket holds some
+``BUCKET`` hashes; so whatever the size, an unknown n-gram is taken for a known one about once in ``2**32 / BUCKET``
+look-ups. Numbers are kept in one byte where they are small, or frequent combinations of such. Workers memory-map the
+arrays (where the shared folder is not a mounted one they read a shard, use it and drop it). With c the counts of an
+order (tokens for the highest, else different words before) and D(1), D(2), D(3+) its discounts from the counts of
+counts (Chen and Goodman 1998), h a context and h' the same without its first word:
+
+    p(w | h) = (c(hw) - D(c(hw))) / c(h.) + g(h) p(w | h'),     g(h) = (D1 n1(h) + D2 n2(h) + D3 n3(h)) / c(h.)
+    p(w)     = (c(w) - D(c(w))) / c(.) + g0 / (V + 1),          V the known words
+
+and p(w | h) = p(w | h') for contexts never seen. Texts begin with order - 1 start marks, which are no words, and end
+with an end token.
+
+Defined cases: a null text is the empty text, and its score that of the end token; very long texts are counted and
+scored whole; an empty training set gives the uniform distribution over the end token and the unknown word (score and
+base score 0 for N = V = 0); a null id counts as the empty text in the split; repeated rows count and are scored each;
+an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import math
-import mmap
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +42,13 @@ from . import common as C
 
 START, END = np.uint64(1), np.uint64(2)
 FOLDS, HELD_OUT = 7, 2
-#: What a word's row holds: tokens, different words before it, and of the bigrams it begins: their sum, and how many
+ORDER = 3
+#: What a word's row holds: tokens, different words before it, and of the pairs it begins: their sum, and how many
 #: were counted once, twice, and three times or more.
 STATS = ("tokens", "before", "begun", "once", "twice", "more")
+#: n-grams that a task holds before it deals them out; hashes a bucket; characters of text a shard, from which the
+#: number of shards follows (but at least the session's partitions).
+HELD, BUCKET, SHARD_CHARS = 2_000_000, 8, 1 << 26
 TOP = (1 << 63) - 1
 
 
@@ -51,29 +57,34 @@ def joined(v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return C.mix(v * np.uint64(0x9DDFEA08EB382D69) + w)
 
 
-def streams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(texts, words with their end, words before them, offsets) of successive runs of texts."""
+def chained(words: list[np.ndarray]) -> np.ndarray:
+    """The hash of a sequence of words."""
+    out = words[0]
+    for w in words[1:]:
+        out = joined(out, w)
+    return out
+
+
+def placed(h: np.ndarray) -> np.ndarray:
+    """A hash's place in a sorted array: shards are ranges of the hash, places are spread over all 64 bits."""
+    with np.errstate(over="ignore"):
+        return C.mix(h + np.uint64(0x632BE59BD9B4E019))
+
+
+def streams(texts: pa.Array, order: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """(texts, the order - 1 words before each word and the word itself, offsets) of successive runs of texts; each
+    text has its end as a word."""
     for a, b, t in C.tokens(texts, words=False):
         n = b - a
         w = np.insert(t.hash, t.offs[1:], END)
         offs = t.offs + np.arange(n + 1)
-        v = np.empty_like(w)
-        v[1:] = w[:-1]
-        v[offs[:-1]] = START
-        yield n, w, v, offs
-
-
-def counted(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, and the sums of their values (their number, if there are none)."""
-    if not len(keys):
-        return (keys, *(np.zeros(0, np.int64) for _ in values or (0,)))
-    if not values:
-        u, c = np.unique(keys, return_counts=True)
-        return u, c
-    order = np.argsort(keys)
-    keys = keys[order]
-    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return (keys[at], *(np.add.reduceat(v[order], at) for v in values))
+        at = np.arange(len(w)) - np.repeat(offs[:-1], np.diff(offs))
+        grams = [w]
+        for k in range(1, order):
+            v = np.full_like(w, START)
+            v[k:] = np.where(at[k:] >= k, w[:-k], START)
+            grams.insert(0, v)
+        yield n, grams, offs
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -91,10 +102,11 @@ def pack(cols: list[np.ndarray]) -> bytes:
             most = (1 << 8 * width) - 1 if width < 8 else TOP
             big = c[c >= most]
             out += [str(width).encode(), np.array([len(c), len(big)], "<u8").tobytes(), np.minimum(c, most).astype(f"<u{width}").tobytes(), big.astype("<i8").tobytes()]
-    return b"".join(out)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def unpack(raw: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
     k, at, out = int(np.frombuffer(raw, "<u8", 1, 8)[0]), 16, []
     for _ in range(k):
         kind, at = raw[at : at + 1], at + 1
@@ -114,207 +126,308 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-def pack_pairs(key: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
-    """Bigrams by places in a list of their words."""
-    u, at = np.unique(np.concatenate([v, w]), return_inverse=True)
-    return pack([u, at[: len(v)], at[len(v) :], c])
+def pack_grams(words: list[np.ndarray], c: np.ndarray) -> bytes:
+    """n-grams by places in a list of their words, in the order of the first word, whose places are told by steps."""
+    u, at = np.unique(np.concatenate(words), return_inverse=True)
+    cols = at.reshape(len(words), -1)
+    order = np.argsort(cols[0], kind="stable")
+    return pack([u, np.diff(cols[0][order], prepend=0), *(x[order] for x in cols[1:]), c[order]])
 
 
-def unpack_pairs(raw: bytes) -> list[np.ndarray]:
-    u, v, w, c = unpack(raw)
-    return [u[v], u[w], c]
+def unpack_grams(raw: bytes) -> list[np.ndarray]:
+    u, first, *cols, c = unpack(raw)
+    return [u[np.cumsum(first)], *(u[x] for x in cols), c]
 
 
-def dealt(keys: np.ndarray, cols: list[np.ndarray], shards: int, packer=lambda *cols: pack(list(cols))) -> pa.RecordBatch:
-    """One packed row a shard, from rows in key order."""
-    cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1, dtype=np.uint64))
+def merged(key: np.ndarray, cols: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Distinct keys in order, their columns (equal for equal keys) and the sums of their numbers."""
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return key[at], [c[order[at]] for c in cols], [np.add.reduceat(x[order], at) if len(at) else x for x in sums]
+
+
+def dealt(h: np.ndarray, shards: int, packed) -> tuple[list[int], list[bytes]]:
+    """(shards, one pack a shard) of rows dealt by their hash; packed: packs the rows of some places."""
+    which = shard_of(h, shards).astype(np.int64)
+    order = np.argsort(which, kind="stable")
+    cuts = np.searchsorted(which[order], np.arange(shards + 1))
     full = [s for s in range(shards) if cuts[s + 1] > cuts[s]]
-    return pa.RecordBatch.from_arrays([
-        pa.array(full, pa.int32()), pa.array([packer(*(c[cuts[s] : cuts[s + 1]] for c in [keys, *cols])) for s in full], pa.binary()),
-    ], ["shard", "packed"])
+    return full, [packed(order[cuts[s] : cuts[s + 1]]) for s in full]
+
+
+def deal_key(words: list[np.ndarray]) -> np.ndarray:
+    """By what n-grams are dealt out: their context, pairs by themselves."""
+    return chained(words if len(words) == 2 else words[:-1])
+
+
+OUT = "shard int, kind string, packed binary, meta string"
+
+
+def told(kind: str, shards: list[int], packs: list[bytes]) -> pa.RecordBatch:
+    n = len(shards)
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([kind] * n, pa.string()), pa.array(packs, pa.binary()), pa.array([None] * n, pa.string())], ["shard", "kind", "packed", "meta"])
+
+
+def noted(meta: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array(["meta"]), pa.array([None], pa.binary()), pa.array([json.dumps(meta)])], ["shard", "kind", "packed", "meta"])
+
+
+def counts_of(c: np.ndarray) -> list[int]:
+    return [int((c == k).sum()) for k in (1, 2, 3, 4)]
+
+
+# ---------------------------------------------------------------- sorted hash arrays
+
+
+def coded(cols: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Rows of numbers as one byte: the place of a frequent row in a list, or 255 and the row itself apart."""
+    key = chained([c.astype(np.uint64) for c in cols])
+    u, first, n = np.unique(key, return_index=True, return_counts=True)
+    best = np.sort(np.argsort(-n, kind="stable")[:255])
+    rows = first[best]
+    code = np.minimum(np.searchsorted(u[best], key), max(0, len(best) - 1))
+    hit = np.all([c == c[rows[code]] for c in cols], axis=0) if len(key) else np.zeros(0, bool)
+    code = np.where(hit, code, 255).astype(np.uint8)
+    rest = np.flatnonzero(~hit)
+    out = {"code": code, "rest": rest.astype(np.uint32)}
+    for k, c in enumerate(cols):
+        wide = "<u4" if c.max(initial=0) < 1 << 32 else "<i8"
+        out |= {f"often{k}": c[rows].astype("<i8"), f"rest{k}": c[rest].astype(wide)}
+    return out
+
+
+def decoded(a: dict[str, np.ndarray], at: np.ndarray, columns: int) -> list[np.ndarray]:
+    code = a["code"][at]
+    odd = np.flatnonzero(code == 255)
+    place = np.searchsorted(a["rest"], at[odd])
+    out = []
+    for k in range(columns):
+        often = a[f"often{k}"]
+        x = often[np.minimum(code, max(0, len(often) - 1))].astype(np.int64) if len(often) else np.zeros(len(at), np.int64)
+        x[odd] = a[f"rest{k}"][place]
+        out.append(x)
+    return out
+
+
+def store(folder: str, name: str, place: np.ndarray, cols: list[np.ndarray]) -> None:
+    """A sorted hash array, given its places in order."""
+    bits = max(0, int(len(place) // BUCKET).bit_length())
+    index = np.searchsorted(place >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(place)])
+    C.store_arrays(folder, name, {"bits": np.array([bits], np.int64), "index": index.astype(np.uint32), "hash": (place >> np.uint64(32 - bits)).astype(np.uint32), **coded(cols)})
+
+
+def search(a: dict[str, np.ndarray], place: np.ndarray) -> np.ndarray:
+    """The rows of some places, -1 for the unknown: binary search within their buckets, of all at once."""
+    bits, hashes = int(a["bits"][0]), a["hash"]
+    bucket = (place >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(place), np.int64)
+    want = (place >> np.uint64(32 - bits)).astype(np.uint32)
+    low, high = a["index"][bucket].astype(np.int64), a["index"][bucket + 1].astype(np.int64)
+    end = high.copy()
+    for _ in range(int((high - low).max(initial=0)).bit_length()):
+        mid = (low + high) >> 1
+        less = (low < high) & (hashes[np.minimum(mid, len(hashes) - 1)] < want)
+        low, high = np.where(less, mid + 1, low), np.where(less, high, np.maximum(mid, low))
+    at = np.minimum(low, len(hashes) - 1)
+    return np.where((low < end) & (hashes[at] == want), at, -1)
 
 
 class Model:
-    """Reads a model's folder: word and bigram arrays, memory-mapped."""
+    """Reads a model's folder."""
 
     def __init__(self, folder: str, shards: int, meta: dict):
         self.folder, self.shards, self.meta = folder, shards, meta
-        self.maps: dict[str, mmap.mmap | bytes] = {}
+        self.maps: dict[str, dict[str, np.ndarray]] = {}
 
-    def array(self, name: str, dtype: str) -> np.ndarray:
+    def arrays(self, name: str) -> dict[str, np.ndarray]:
         if name not in self.maps:
-            fsys, path = C.filesystem(f"{self.folder}/{name}")
-            if os.path.exists(path):
-                f = open(path, "rb")
-            else:
-                f = tempfile.TemporaryFile()
-                with fsys.open_input_stream(path) as src:
-                    while block := src.read(1 << 22):
-                        f.write(block)
-                f.flush()
-            with f:
-                size = os.fstat(f.fileno()).st_size
-                self.maps[name] = mmap.mmap(f.fileno(), size, access=mmap.ACCESS_READ) if size else b""
-        return np.frombuffer(self.maps[name], dtype)
-
-    def find(self, kind: str, keys: np.ndarray, fields: tuple[str, ...]) -> list[np.ndarray]:
-        """The fields of sorted keys, 0 where a key is unknown."""
-        out = [np.zeros(len(keys), np.int64) for _ in fields]
-        which = shard_of(keys, self.shards)
-        cuts = np.searchsorted(which, np.arange(self.shards + 1, dtype=np.uint64))
-        for s in range(self.shards):
-            a, b = cuts[s], cuts[s + 1]
-            if a < b and s in self.meta[kind]:
-                have = self.array(f"{kind}-{s:06d}.hash", "<u8")
-                at = np.minimum(np.searchsorted(have, keys[a:b]), len(have) - 1)
-                hit = have[at] == keys[a:b]
-                for o, field in zip(out, fields):
-                    o[a:b] = np.where(hit, self.array(f"{kind}-{s:06d}.{field}", self.meta[kind][s].get(field, "<i8"))[at], 0)
-        return out
+            arrays, mapped = C.load_arrays(f"{self.folder}/{name}")
+            if not mapped:
+                return arrays
+            self.maps[name] = arrays
+        return self.maps[name]
+
+    def find(self, kind: str, h: np.ndarray, dealt_by: np.ndarray, columns: int) -> list[np.ndarray]:
+        """The numbers of hashes, 0 where one is unknown."""
+        place, first, back = np.unique(placed(h), return_index=True, return_inverse=True)
+        out = [np.zeros(len(place), np.int64) for _ in range(columns)]
+        which = shard_of(dealt_by[first], self.shards).astype(np.int64)
+        order = np.argsort(which, kind="stable")
+        cuts = np.searchsorted(which[order], np.arange(self.shards + 1))
+        for s in self.meta["stored"][kind]:
+            some = order[cuts[s] : cuts[s + 1]]
+            if len(some):
+                a = self.arrays(f"{kind}-{s:06d}")
+                at = search(a, place[some])
+                hit = at >= 0
+                for o, x in zip(out, decoded(a, at[hit], columns)):
+                    o[some[hit]] = x
+        return [o[back] for o in out]
 
 
 def discounts(n: list[int]) -> list[float]:
-    """D(0..3+) from the counts of counts 1 to 4; where they are too few to tell, the plain 0.5, 1 and 1.5."""
+    """D(0..3+) from the counts of counts 1 to 4; where these are too few or too odd to tell, the plain 0.5, 1 and 1.5."""
     n1, n2, n3, n4 = n
-    if min(n) <= 0:
-        return [0.0, 0.5, 1.0, 1.5]
-    y = n1 / (n1 + 2 * n2)
-    out = [0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-    return [min(max(x, 0.0), float(k)) for k, x in enumerate(out)]
+    if min(n) > 0:
+        y = n1 / (n1 + 2 * n2)
+        out = [0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+        if min(out[1:]) > 0:
+            return out
+    return [0.0, 0.5, 1.0, 1.5]
+
+
+# ---------------------------------------------------------------- counting
 
 
-def store(folder: str, name: str, cols: dict[str, np.ndarray]) -> None:
-    for field, c in cols.items():
-        C.write_file(folder, f"{name}.{field}", [c.tobytes()])
+def by_shard(batches: Iterator[pa.RecordBatch], read, done) -> Iterator[pa.RecordBatch]:
+    """Feeds the packs of each shard, which follow one another, to ``done`` together."""
+    shard, rows = None, []
+    for batch in batches:
+        for s, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if s != shard and rows:
+                yield from done(shard, [np.concatenate(x) for x in zip(*rows)])
+                rows = []
+            shard = s
+            rows.append(read(raw.as_buffer().to_pybytes()))
+    if rows:
+        yield from done(shard, [np.concatenate(x) for x in zip(*rows)])
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, order: int = ORDER) -> Model:
     """Count the texts of docs and store the model in the shared folder."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = docs.sparkSession
     C.prepare(spark)
-    shards = C.partitions(spark)  # follows the data, so that a shard is bounded
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    shards = max(C.partitions(spark), -(-chars // SHARD_CHARS))
     folder = C.shared_path(spark, "lm")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        words: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def merged() -> tuple:
-            v, w, c = (np.concatenate([h[i] for h in held]) for i in range(3))
-            key = joined(v, w)
-            order = np.argsort(key)
-            key, v, w, c = key[order], v[order], w[order], c[order]
-            at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            return key[at], v[at], w[at], np.add.reduceat(c, at)
+        held: list[list[np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            key, v, w, c = merged()
-            return dealt(key, [v, w, c], shards, pack_pairs)
+            *words, c = (np.concatenate(x) for x in zip(*held))
+            _, words, (c,) = merged(chained(words), words, [c])
+            return told("grams", *dealt(deal_key(words), shards, lambda at: pack_grams([w[at] for w in words], c[at])))
 
         for batch in batches:
-            for _, w, v, _ in streams(batch.column("text")):
-                key = joined(v, w)
-                u, i, c = np.unique(key, return_index=True, return_counts=True)
-                held.append((v[i], w[i], c))
-                size += len(i)
-                if size > 3_000_000:  # bounded memory: a task may deal out more than once
+            for _, grams, _ in streams(batch.column("text"), order):
+                _, i, c = np.unique(chained(grams), return_index=True, return_counts=True)
+                held.append([*(g[i] for g in grams), c])
+                if sum(len(x[-1]) for x in held) > HELD:  # bounded memory: a task may deal out more than once
                     yield out()
-                    held, size = [], 0
+                    held = []
         if held:
             yield out()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rows = None, []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if shard is None:
-                return
-            v, w, c = (np.concatenate([r[i] for r in rows]) for i in range(3))
-            key = joined(v, w)
-            order = np.argsort(key)
-            key, v, w, c = key[order], v[order], w[order], c[order]
-            at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            key, v, w, c = key[at], v[at], w[at], np.add.reduceat(c, at)
-            kind = "<u4" if c.max() < 1 << 32 else "<i8"
-            store(folder, f"pairs-{shard:06d}", {"hash": key, "count": c.astype(kind)})
-            one = np.ones(len(key), np.int64)
-            vs, begun, once, twice, more = counted(v, c, (c == 1) * one, (c == 2) * one, (c > 2) * one)
-            ws, tokens, before = counted(w, c, one)
-            zero_v, zero_w = np.zeros(len(vs), np.int64), np.zeros(len(ws), np.int64)
-            stats = counted(np.concatenate([vs, ws]), *(np.concatenate(x) for x in (
-                (zero_v, tokens), (zero_v, before), (begun, zero_w), (once, zero_w), (twice, zero_w), (more, zero_w))))
-            told = dealt(stats[0], list(stats[1:]), shards)
-            counts = json.dumps({"shard": shard, "count": kind, "of": [int((c == k).sum()) for k in (1, 2, 3, 4)]})
-            yield pa.RecordBatch.from_arrays([*told.columns, pa.array([None] * told.num_rows, pa.string())], ["shard", "packed", "meta"])
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([None], pa.binary()), pa.array([counts], pa.string())], ["shard", "packed", "meta"])
-
-        for batch in batches:
-            for s, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if s != shard:
-                    yield from out()
-                    shard, rows = s, []
-                rows.append(unpack_pairs(raw.as_buffer().to_pybytes()))
-        yield from out()
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """n-grams of three words or more."""
+        def done(shard: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            *words, c = cols
+            k = len(words)
+            context = chained(words[:-1])
+            place, (context, *words), (c,) = merged(placed(joined(context, words[-1])), [context, *words], [c])
+            store(folder, f"grams{k}-{shard:06d}", place, [c])
+            if k == order:
+                w, _, (n,) = merged(words[-1], [], [c])
+                yield told("tokens", *dealt(w, shards, lambda at: pack([w[at], n[at]])))
+            one = np.ones(len(c), np.int64)
+            at, _, sums = merged(placed(context), [], [c, (c == 1) * one, (c == 2) * one, (c > 2) * one])
+            store(folder, f"contexts{k}-{shard:06d}", at, sums)
+            short = words[1:]
+            _, short, (n,) = merged(chained(short), short, [one])
+            yield told("grams", *dealt(deal_key(short), shards, lambda at: pack_grams([w[at] for w in short], n[at])))
+            yield noted({"k": k, "shard": shard, "of": counts_of(c)})
+
+        yield from by_shard(batches, unpack_grams, done)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(shard: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            v, w, c = cols
+            place, (v, w), (c,) = merged(placed(joined(v, w)), [v, w], [c])
+            store(folder, f"grams2-{shard:06d}", place, [c])
+            one, zero = np.ones(len(c), np.int64), np.zeros(len(c), np.int64)
+            begun = [zero, zero, c, (c == 1) * one, (c == 2) * one, (c > 2) * one]
+            ended = [c if order == 2 else zero, one, zero, zero, zero, zero]
+            h, _, sums = merged(np.concatenate([v, w]), [], [np.concatenate(x) for x in zip(begun, ended)])
+            yield told("words", *dealt(h, shards, lambda at: pack([h[at], *(x[at] for x in sums)])))
+            yield noted({"k": 2, "shard": shard, "of": counts_of(c)})
+
+        yield from by_shard(batches, unpack_grams, done)
+
+    def widened(raw: bytes) -> list[np.ndarray]:
+        """A pack of words; one of tokens alone has no other numbers."""
+        h, *sums = unpack(raw)
+        return [h, *sums, *(np.zeros(len(h), np.int64) for _ in STATS[len(sums) :])]
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rows = None, []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if shard is None:
-                return
-            h, *stats = counted(*(np.concatenate([r[i] for r in rows]) for i in range(len(STATS) + 1)))
-            store(folder, f"words-{shard:06d}", {"hash": h} | {k: s.astype("<i8") for k, s in zip(STATS, stats)})
-            known = stats[0] > 0
-            u = stats[1]
-            meta = json.dumps({"shard": shard, "tokens": int(stats[0].sum()), "known": int(known.sum()), "before": int(u.sum()), "of": [int((u == k).sum()) for k in (1, 2, 3, 4)], "more": int((u > 2).sum())})
-            yield pa.RecordBatch.from_arrays([pa.array([meta], pa.string())], ["meta"])
-
-        for batch in batches:
-            for s, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if s != shard:
-                    yield from out()
-                    shard, rows = s, []
-                rows.append(unpack(raw.as_buffer().to_pybytes()))
-        yield from out()
-
-    part = C.map_arrow(docs.select("text"), count, "shard int, packed binary")
-    pairs = C.map_arrow(part.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard"), merge, "shard int, packed binary, meta string")
-    pairs = C.materialise(pairs, "lm-words")
-    of_pairs = [json.loads(r["meta"]) for r in pairs.filter("meta is not null").select("meta").collect()]  # one row a shard
-    rows = pairs.filter("meta is null").select("shard", "packed").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
-    of_words = [json.loads(r["meta"]) for r in C.map_arrow(rows, words, "meta string").collect()]  # one row a shard
-    n = [sum(m["of"][k] for m in of_words) for k in range(4)]
+        def done(shard: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            h, *sums = cols
+            place, _, sums = merged(placed(h), [], sums)
+            store(folder, f"words-{shard:06d}", place, sums)
+            tokens, u = sums[:2]
+            yield noted({"k": 1, "shard": shard, "of": counts_of(u), "tokens": int(tokens.sum()), "known": int((tokens > 0).sum()), "before": int(u.sum()), "more": int((u > 2).sum())})
+
+        yield from by_shard(batches, widened, done)
+
+    def shuffled(rows: DataFrame) -> DataFrame:
+        return rows.select("shard", "packed").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
+
+    # what a finished step has shuffled is not read again, and would stand beside all that follows
+    was = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        rows = C.map_arrow(docs.select("text"), count, OUT)
+        steps = []
+        for k in range(order, 1, -1):
+            rows = C.materialise(C.map_arrow(shuffled(rows), longer if k > 2 else pairs, OUT), f"lm-{k}")
+            steps.append(rows)
+            rows = rows.filter(F.col("kind") == ("grams" if k > 2 else "words"))
+        if order > 2:
+            rows = rows.unionByName(steps[0].filter("kind = 'tokens'"))
+        notes = [json.loads(r["meta"]) for r in C.map_arrow(shuffled(rows), words, OUT).filter("kind = 'meta'").select("meta").collect()]  # one row a shard
+        for step in steps:
+            notes += [json.loads(r["meta"]) for r in step.filter("kind = 'meta'").select("meta").collect()]
+    finally:
+        spark.conf.set(CLEAN_UP, was)
+    total = lambda k, f: [sum(m["of"][i] for m in notes if m["k"] == k) for i in range(4)] if f == "of" else sum(m[f] for m in notes if m["k"] == k)
+    stored = {k: sorted(m["shard"] for m in notes if m["k"] == k) for k in range(1, order + 1)}
     meta = {
-        "pairs": {m["shard"]: {"count": m["count"]} for m in of_pairs}, "words": {m["shard"]: {} for m in of_words},
-        "tokens": sum(m["tokens"] for m in of_words), "known": sum(m["known"] for m in of_words), "before": sum(m["before"] for m in of_words),
-        "low": [n[0], n[1], sum(m["more"] for m in of_words)],
-        "D": discounts([sum(m["of"][k] for m in of_pairs) for k in range(4)]), "E": discounts(n),
+        "order": order, "tokens": total(1, "tokens"), "known": total(1, "known"), "before": total(1, "before"),
+        "low": [*total(1, "of")[:2], total(1, "more")], "D": {k: discounts(total(k, "of")) for k in range(1, order + 1)},
+        "stored": {"words": stored[1]} | {f"grams{k}": stored[k] for k in range(2, order + 1)} | {f"contexts{k}": stored[k] for k in range(3, order + 1)},
     }
     return Model(folder, shards, meta)
 
 
-def log_probabilities(model: Model, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 p(w | v), tokens of w in training) of each token."""
-    m = model.meta
-    words, at = np.unique(np.concatenate([w, v]), return_inverse=True)
-    tokens, before, begun, once, twice, more = model.find("words", words, STATS)
-    at_w, at_v = at[: len(w)], at[len(w) :]
-    pairs, back = np.unique(joined(v, w), return_inverse=True)
-    (c,) = model.find("pairs", pairs, ("count",))
-    c = c[back].astype(np.float64)
-    d, e = np.array(m["D"]), np.array(m["E"])
-    uniform = 1 / (m["known"] + 1)
-    if m["before"]:
-        u = before.astype(np.float64)
-        g0 = float(np.dot(e[1:], m["low"])) / m["before"]
-        low = np.maximum(u - e[np.minimum(before, 3)], 0) / m["before"] + g0 * uniform
-    else:
-        low = np.full(len(words), uniform)
-    total = np.maximum(begun, 1).astype(np.float64)
-    g = np.where(begun > 0, (d[1] * once + d[2] * twice + d[3] * more) / total, 1.0)
-    p = np.maximum(c - d[np.minimum(c, 3).astype(np.int64)], 0) / total[at_v] + g[at_v] * low[at_w]
-    return np.log10(p), tokens[at_w]
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def log_probabilities(model: Model, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 p(w | h), tokens of w in training) of each token; grams: the words before each, and the word."""
+    m, n = model.meta, len(grams[0])
+    both = np.concatenate(grams[-2:])
+    tokens, before, begun, once, twice, more = (x.reshape(2, n) for x in model.find("words", both, both, len(STATS)))
+
+    def share(c: np.ndarray, d: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(total, 1)
+
+    def left(d: np.ndarray, total: np.ndarray, kinds: list[np.ndarray]) -> np.ndarray:
+        return np.where(total > 0, sum(x * y for x, y in zip(d[1:], kinds)) / np.maximum(total, 1), 1.0)
+
+    e = np.array(m["D"][1])
+    g0 = float(np.dot(e[1:], m["low"])) / m["before"] if m["before"] else 1.0
+    p = share(before[1], e, np.array(m["before"])) + g0 / (m["known"] + 1)
+    d, pair = np.array(m["D"][2]), chained(grams[-2:])
+    (c,) = model.find("grams2", pair, pair, 1)
+    p = share(c, d, begun[0]) + left(d, begun[0], [once[0], twice[0], more[0]]) * p
+    for k in range(3, m["order"] + 1):
+        d, h = np.array(m["D"][k]), chained(grams[-k:-1])
+        total, *kinds = model.find(f"contexts{k}", h, h, 4)
+        (c,) = model.find(f"grams{k}", joined(h, grams[-1]), h, 1)
+        p = share(c, d, total) + left(d, total, kinds) * p
+    return np.log10(p), tokens[1]
 
 
 def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
@@ -327,8 +440,8 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
         low = math.log10(meta["tokens"] + meta["known"] + 1)
         for batch in batches:
             done = 0
-            for n, w, v, offs in streams(batch.column("text")):
-                p, tokens = log_probabilities(m, w, v)
+            for n, grams, offs in streams(batch.column("text"), meta["order"]):
+                p, tokens = log_probabilities(m, grams)
                 sums = [np.add.reduceat(x, offs[:-1]) for x in ((tokens > 0).astype(np.int64), np.log10(tokens + 1.0) - low, p)]
                 count = np.diff(offs)
                 yield pa.RecordBatch.from_arrays([
@@ -354,8 +467,11 @@ _TOKENS = f"regexp_extract_all(translate(coalesce(text, ''), '{C.UPPER}', '{C.LO
 def _discounts(name: str, source: str) -> str:
     parts = ", ".join(f"CAST(count(*) FILTER (WHERE c = {k}) AS DOUBLE) AS n{k}" for k in (1, 2, 3, 4))
     y = "n1 / (n1 + 2 * n2)"
+    raw = [f"1 - 2 * {y} * n2 / n1", f"2 - 3 * {y} * n3 / n2", f"3 - 4 * {y} * n4 / n3"]
+    usable = "coalesce(least(n1, n2, n3, n4) > 0 AND " + " AND ".join(f"{x} > 0" for x in raw) + ", false)"
+    picked = ", ".join(f"CASE WHEN {usable} THEN {x} ELSE {plain} END AS d{k}" for k, x, plain in zip((1, 2, 3), raw, (0.5, 1.0, 1.5)))
     return f"""{name}n AS (SELECT {parts} FROM {source}),
-     {name} AS (SELECT greatest(0, least(1, 1 - 2 * {y} * n2 / n1)) AS d1, greatest(0, least(2, 2 - 3 * {y} * n3 / n2)) AS d2, greatest(0, least(3, 3 - 4 * {y} * n4 / n3)) AS d3 FROM {name}n)"""
+     {name} AS (SELECT {picked} FROM {name}n)"""
 
 
 def _discount(c: str, of: str) -> str:
@@ -365,21 +481,46 @@ def _discount(c: str, of: str) -> str:
 #: The crc32 of an id's digits modulo 7, by bytes: SQL has none, so it is folded bit by bit.
 _CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))),
        lambda h, b: list_reduce(list_prepend(xor(h, b), [CAST(k AS BIGINT) for k in range(8)]), lambda x, k: xor(x // 2, (x % 2) * 3988292384)))"""
-OP7_SQL = f"""
+
+
+def lm_sql(order: int = ORDER) -> str:
+    """The scores as SQL: of each order k the grams g{k}, the contexts h{k} and the discounts d{k}."""
+    words = [f"w{i}" for i in range(order)]  # w{order - 1} is the word, the others are before it
+    last = words[-1]
+    marks = ", ".join(["' start'"] * (order - 1))
+    padded = f"list_concat([{marks}], w, [' end'])"
+    rows = ", ".join(f"list_extract(x, i + {k}) AS {w}" for k, w in enumerate(words))
+    parts = []
+    for k in range(order, 0, -1):
+        own = ", ".join(words[-k:])
+        source = "t WHERE NOT held_out" if k == order else f"g{k + 1}"
+        parts.append(f"g{k} AS (SELECT {own}, count(*) AS c FROM {source} GROUP BY {own})")
+        parts.append(_discounts(f"d{k}", f"g{k}"))
+        if k > 1:
+            h = ", ".join(words[-k:-1])
+            many = " + ".join(f"count(*) FILTER (WHERE c {which}) * any_value(d{k}.d{j})" for j, which in ((1, "= 1"), (2, "= 2"), (3, "> 2")))
+            parts.append(f"h{k} AS (SELECT {h}, CAST(sum(c) AS DOUBLE) AS s, ({many}) / sum(c) AS g FROM g{k}, d{k} GROUP BY {h})")
+    p = f"coalesce((greatest(g1.c - ({_discount('g1.c', 'd1')}), 0)) / g0.u, 0) + g0.g / (tot.v + 1)"
+    joins = [f"LEFT JOIN g1 ON g1.{last} = t.{last}"]
+    for k in range(2, order + 1):
+        c = f"coalesce(g{k}.c, 0)"
+        p = f"CASE WHEN h{k}.s IS NULL THEN {p} ELSE greatest({c} - ({_discount(c, f'd{k}')}), 0) / h{k}.s + h{k}.g * ({p}) END"
+        joins += [f"LEFT JOIN g{k} ON " + " AND ".join(f"g{k}.{w} = t.{w}" for w in words[-k:]), f"LEFT JOIN h{k} ON " + " AND ".join(f"h{k}.{w} = t.{w}" for w in words[-k:-1])]
+    crossed = " ".join(f"CROSS JOIN d{k}" for k in range(1, order + 1))
+    return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TOKENS} AS w, xor(CAST({_CRC} AS BIGINT), 4294967295) % 7 = 2 AS held_out FROM documents),
-     t AS (SELECT rid, held_out, unnest(list_concat([' start'], w)) AS v, unnest(list_concat(w, [' end'])) AS w FROM d),
-     one AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+     x AS (SELECT rid, held_out, {padded} AS x FROM d),
+     t AS (SELECT rid, held_out, {rows} FROM (SELECT *, unnest(range(1, len(x) - {order - 2})) AS i FROM x)),
+     one AS (SELECT {last}, count(*) AS c FROM t WHERE NOT held_out GROUP BY {last}),
      tot AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM one),
-     two AS (SELECT v, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY v, w),
-     bef AS (SELECT w, count(*) AS c FROM two GROUP BY w),
-     {_discounts('dd', 'two')}, {_discounts('ee', 'bef')},
-     beg AS (SELECT v, CAST(sum(c) AS DOUBLE) AS s, (any_value(dd.d1) * count(*) FILTER (WHERE c = 1) + any_value(dd.d2) * count(*) FILTER (WHERE c = 2) + any_value(dd.d3) * count(*) FILTER (WHERE c > 2)) / sum(c) AS g FROM two, dd GROUP BY v),
-     g0 AS (SELECT sum({_discount('c', 'ee')}) / sum(c) AS g, CAST(sum(c) AS DOUBLE) AS u FROM bef, ee),
-     low AS (SELECT w, greatest(c - ({_discount('c', 'ee')}), 0) / g0.u + g0.g / (tot.v + 1) AS p FROM bef, ee, g0, tot),
-     s AS (SELECT t.rid, coalesce(one.c, 0) AS c1, log10((coalesce(one.c, 0) + 1) / CAST(tot.n + tot.v + 1 AS DOUBLE)) AS base,
-             log10(CASE WHEN beg.s IS NULL THEN coalesce(low.p, g0.g / (tot.v + 1)) ELSE greatest(coalesce(two.c, 0) - ({_discount('coalesce(two.c, 0)', 'dd')}), 0) / beg.s + beg.g * coalesce(low.p, g0.g / (tot.v + 1)) END) AS p
-           FROM t CROSS JOIN tot CROSS JOIN dd CROSS JOIN g0 LEFT JOIN one ON one.w = t.w LEFT JOIN two ON two.v = t.v AND two.w = t.w LEFT JOIN beg ON beg.v = t.v LEFT JOIN low ON low.w = t.w)
+     {", ".join(parts)},
+     g0 AS (SELECT sum({_discount('c', 'd1')}) / sum(c) AS g, CAST(sum(c) AS DOUBLE) AS u FROM g1, d1),
+     s AS (SELECT t.rid, coalesce(one.c, 0) AS c1, log10((coalesce(one.c, 0) + 1) / CAST(tot.n + tot.v + 1 AS DOUBLE)) AS base, log10({p}) AS p
+           FROM t CROSS JOIN tot CROSS JOIN g0 {crossed} LEFT JOIN one ON one.{last} = t.{last} {" ".join(joins)})
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c1 > 0) AS n_known, any_value(tot.n) AS train_tokens,
        round(sum(base), 6) AS base_score, round(sum(p), 6) AS score
 FROM d JOIN s USING (rid), tot GROUP BY rid, doc_id, held_out
 """
+
+
+OP7_SQL = lm_sql()

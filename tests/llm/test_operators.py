@@ -324,52 +324,77 @@ def test_components(spark):
 # ---------------------------------------------------------------- 7
 
 
-def test_language_model(spark, docs, none):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(spark, docs, none, order):
     from pyspark.sql import functions as F
 
     rows = [(i, t) for i, t, *_ in ROWS] + [(200 + i, prose(50 + i, 300, 60)) for i in range(12)]
-    df = clashing(spark.createDataFrame(rows, "doc_id long, text string"), "shard", "meta").repartition(3)
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string"), "shard", "meta", "packed").repartition(3)
     out = common.crc_mod(F.col("doc_id"), 7) == 2
-    got = kneser_ney.score(df, kneser_ney.train(df.filter(~out)), out).collect()
+    got = kneser_ney.score(df, kneser_ney.train(df.filter(~out), order), out).collect()
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-    texts = [(i, [*SPACE.findall((t or "").translate(LOW)), "\0end"]) for i, t in rows]
-    one, two = collections.Counter(), collections.Counter()
-    for i, ws in texts:
-        if not held(i):
-            one.update(ws)
-            two.update(zip(["\0start", *ws], ws))
+    texts = [(i, [*["\0start"] * (order - 1), *SPACE.findall((t or "").translate(LOW)), "\0end"]) for i, t in rows]
+    grams = lambda ws: [tuple(ws[i : i + order]) for i in range(len(ws) - order + 1)]
+    counts = {order: collections.Counter(g for i, ws in texts if not held(i) for g in grams(ws))}
+    for k in range(order - 1, 0, -1):  # of the shorter ones: different words before them
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    one = collections.Counter(w for i, ws in texts if not held(i) for w in ws[order - 1 :])
     n, v = sum(one.values()), len(one)
-    before, begun = collections.Counter(w for _, w in two), collections.Counter()
-    kinds = collections.defaultdict(collections.Counter)
-    for (a, _), c in two.items():
-        begun[a] += c
-        kinds[a][min(c, 3)] += 1
-    d, e = (kneser_ney.discounts([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]) for c in (two, before))
-    g0 = sum(e[min(c, 3)] for c in before.values()) / len(two)
-
-    def p(w, a):
-        low = max(before[w] - e[min(before[w], 3)], 0) / len(two) + g0 / (v + 1)
-        if not begun[a]:
-            return low
-        return max(two[a, w] - d[min(two[a, w], 3)], 0) / begun[a] + sum(d[k] * kinds[a][k] for k in (1, 2, 3)) / begun[a] * low
+    d = {k: kneser_ney.discounts([sum(x == j for x in c.values()) for j in (1, 2, 3, 4)]) for k, c in counts.items()}
+    begun, kinds = collections.Counter(), collections.defaultdict(collections.Counter)
+    for c in counts.values():
+        for g, x in c.items():
+            begun[g[:-1], len(g)] += x
+            kinds[g[:-1], len(g)][min(x, 3)] += 1
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (v + 1)
+        h = (g[:-1], k)
+        if not begun[h]:
+            return p(g[1:])
+        left = sum(d[k][j] * kinds[h][j] for j in (1, 2, 3)) / begun[h]
+        return max(counts[k][g] - d[k][min(counts[k][g], 3)], 0) / begun[h] + left * p(g[1:])
 
     some = list(one) + ["\0unknown"]
-    for a in (some[0], some[5], "\0start", "\0never"):
-        assert sum(p(w, a) for w in some) == pytest.approx(1)
+    for h in (list(counts[order])[0][:-1], list(counts[order])[40][:-1], ("\0start",) * (order - 1), ("\0never",) * (order - 1)):
+        assert sum(p((*h, w)) for w in some) == pytest.approx(1)
     want = collections.Counter()
     for i, ws in texts:
-        s = sum(math.log10(p(w, a)) for a, w in zip(["\0start", *ws], ws))
-        b = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in ws)
-        want[i, held(i), len(ws), sum(one[w] > 0 for w in ws), n, round(b, 6), round(s, 6)] += 1
+        s = sum(math.log10(p(g)) for g in grams(ws))
+        own = ws[order - 1 :]
+        b = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in own)
+        want[i, held(i), len(own), sum(one[w] > 0 for w in own), n, round(b, 6), round(s, 6)] += 1
     assert collections.Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == want
-    nothing = kneser_ney.score(docs, kneser_ney.train(none), out).collect()
-    assert len(nothing) == len(ROWS) and all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] == 0 for r in nothing)
+    if order == kneser_ney.ORDER:
+        nothing = kneser_ney.score(docs, kneser_ney.train(none), out).collect()
+        assert len(nothing) == len(ROWS) and all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] == 0 for r in nothing)
+        assert kneser_ney.score(none, kneser_ney.train(docs), out).count() == 0
 
 
 def test_packing():
     rng = np.random.default_rng(1)
     cols = [rng.integers(0, 1 << 63, 500).astype(np.uint64), rng.zipf(1.2, 500).clip(max=1 << 40).astype(np.int64), np.full(500, 255), np.zeros(500, np.int64)]
     assert all((a == b).all() for a, b in zip(kneser_ney.unpack(kneser_ney.pack(cols)), cols))
+    words, c = [rng.choice(cols[0], 300) for _ in range(3)], cols[1][:300]
+    back = kneser_ney.unpack_grams(kneser_ney.pack_grams(words, c))
+    assert sorted(zip(*(x.tolist() for x in back))) == sorted(zip(*(x.tolist() for x in [*words, c])))
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 5000, 200_000])
+def test_sorted_hash_arrays(tmp_path, size):
+    rng = np.random.default_rng(size)
+    h = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+    place = np.sort(kneser_ney.placed(h))
+    cols = [rng.zipf(1.5, len(h)).clip(max=1 << 50).astype(np.int64), rng.integers(0, 3, len(h))]
+    kneser_ney.store(str(tmp_path), "a", place, cols)
+    a, mapped = common.load_arrays(f"{tmp_path}/a")
+    assert mapped
+    if size:
+        at = kneser_ney.search(a, place)
+        assert (at == np.arange(len(h))).all() and all((x == y).all() for x, y in zip(kneser_ney.decoded(a, at, 2), cols))
+        assert (kneser_ney.search(a, kneser_ney.placed(rng.integers(0, 1 << 63, 100_000).astype(np.uint64) * np.uint64(2) + np.uint64(1))) >= 0).sum() <= 2
 
 
 # ---------------------------------------------------------------- 8
