@@ -157,4 +157,22 @@ SQL = {
     "scene_windows": f"""WITH {SC} SELECT strftime(time_bucket(INTERVAL 5 DAYS, acquired, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(round(avg(cloud_cover), 4), 3) AS cloud_cover FROM sc GROUP BY 1""",
     "raster_blobs": """WITH e AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, embedding, unnest(range(0, len(embedding) // 2)) AS i FROM embeddings)
         SELECT vec_id, CAST(i // 8 AS INT) AS r, CAST(i % 8 AS INT) AS c, round(CAST(embedding[2 * i + 1] AS DOUBLE), 6) AS ndvi, round(CAST(embedding[2 * i + 2] AS DOUBLE), 6) AS data_mask FROM e""",
+    "gap_filled_cells": f"""WITH b AS ({bisection([])}), {GRID}, near AS (SELECT field_id, r + dr AS r, c + dc AS c, zone, count(*) AS n FROM b, {MOVES} GROUP BY ALL),
+        best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY field_id, r, c ORDER BY n DESC, zone) = 1),
+        o AS (SELECT g.field_id, g.r, g.c, coalesce(b.zone, best.zone) AS zone FROM grid g LEFT JOIN b USING (field_id, r, c) LEFT JOIN best ON best.field_id = g.field_id AND best.r = g.r AND best.c = g.c),
+        far AS (SELECT o.field_id, o.r, o.c, b.zone FROM o JOIN b USING (field_id) WHERE o.zone IS NULL QUALIFY row_number() OVER (PARTITION BY o.field_id, o.r, o.c ORDER BY (o.r - b.r) ** 2 + (o.c - b.c) ** 2, b.zone) = 1)
+        SELECT o.field_id, o.r, o.c, coalesce(o.zone, far.zone) AS zone FROM o LEFT JOIN far ON far.field_id = o.field_id AND far.r = o.r AND far.c = o.c WHERE coalesce(o.zone, far.zone) IS NOT NULL""",
+    "bisection_tour": f"""WITH RECURSIVE b AS ({bisection([])}),
+        p AS (SELECT field_id, zone, min(r * 100 + c) AS a, max(r * 100 + c) AS z FROM b GROUP BY 1, 2),
+        e AS (SELECT field_id, zone, false AS rev, a // 100 AS sr, a % 100 AS sc, z // 100 AS er, z % 100 AS ec FROM p UNION ALL SELECT field_id, zone, true, z // 100, z % 100, a // 100, a % 100 FROM p),
+        w AS (SELECT field_id, zone, 0 AS visit, rev, er, ec, [zone] AS seen FROM (SELECT * FROM e WHERE NOT rev QUALIFY row_number() OVER (PARTITION BY field_id ORDER BY zone) = 1)
+          UNION ALL SELECT field_id, zone, visit, rev, er, ec, seen FROM (SELECT e.field_id, e.zone, w.visit + 1 AS visit, e.rev, e.er, e.ec, list_append(w.seen, e.zone) AS seen,
+            row_number() OVER (PARTITION BY e.field_id ORDER BY (e.sr - w.er) ** 2 + (e.sc - w.ec) ** 2, e.zone, e.rev) AS k FROM w JOIN e ON e.field_id = w.field_id AND NOT list_contains(w.seen, e.zone)) WHERE k = 1)
+        SELECT field_id, zone, CAST(visit AS INT) AS visit, rev AS reversed FROM w""",
+    "farthest_points": """WITH RECURSIVE p AS (SELECT CAST(label AS BIGINT) AS g, CAST(vec_id AS BIGINT) AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+        m AS (SELECT g, avg(x) AS mx, avg(y) AS my FROM p GROUP BY g),
+        w AS (SELECT 0 AS seq, g, id, x, y, first_value(id) OVER f AS pick, (x - first_value(x) OVER f) ** 2 + (y - first_value(y) OVER f) ** 2 AS far FROM p JOIN m USING (g) WINDOW f AS (PARTITION BY g ORDER BY (x - mx) ** 2 + (y - my) ** 2 DESC, id)
+          UNION ALL SELECT seq + 1, g, id, x, y, first_value(id) OVER f, least(far, (x - first_value(x) OVER f) ** 2 + (y - first_value(y) OVER f) ** 2) FROM w WHERE seq < 7 WINDOW f AS (PARTITION BY g ORDER BY far DESC, id)),
+        n AS (SELECT g, seq, any_value(pick) AS id, max(far) AS far FROM w GROUP BY g, seq)
+        SELECT g AS "group", CAST(n.seq AS INT) AS seq, n.id FROM n WHERE NOT EXISTS (SELECT 1 FROM n o WHERE o.g = n.g AND o.seq < n.seq AND o.far = 0)""",
 }

@@ -356,6 +356,19 @@ def gap_filled_zones(spark: SparkSession, sf: str) -> DataFrame:
     return polygons.fill_gaps(z, polygons.covered_cells(D.rings(fields(spark, sf)), N, N))
 
 
+def gap_filled_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cell of the grid belongs to a zone, cells that lie apart to the nearest."""
+    every = raster.full_grid(fields(spark, sf), N, N).withColumn("covered", F.lit(1.0))
+    return polygons.fill_gaps(bisection_zones(spark, sf), every).select("field_id", "r", "c", "zone")
+
+
+def bisection_tour(spark: SparkSession, sf: str) -> DataFrame:
+    """The tour over zones whose paths go from their first cell to their last."""
+    ends = bisection_zones(spark, sf).groupBy("field_id", "zone").agg(F.array(F.min(F.struct("r", "c")), F.max(F.struct("r", "c"))).alias("ends"))
+    paths = ends.select("field_id", "zone", F.posexplode("ends").alias("seq", "at"))
+    return sampling.tour_of(paths.select("field_id", "zone", "seq", F.col("at.c").cast("double").alias("x"), F.col("at.r").cast("double").alias("y")))
+
+
 def legacy_points(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.points_of(zoned(spark, sf), 8, "legacy")
 
@@ -430,5 +443,5 @@ QUERIES = {f.__name__: f for f in (
     mask_components4, mask_components8, mask_runs, dilate4, outline_edges, mask_sets, zone_borders, zone_rank, zone_size_ratio, zone_rollup,
     safe_pixels, quantile_rows, distinct_values, pca_axis, path_metrics, utm_project, ring_area_utm, round_trip, coverage_area, bounding_boxes,
     cache_upsert_latest, cache_live, cache_lookup, request_validation, response_headers, scene_windows, raster_blobs, farthest_points,
-    grown_zones, balanced_zone_stats, zone_polygons, gap_filled_zones, legacy_points, sweep_points, zone_tour, field_zones, field_zone_requests, ndvi_images,
+    grown_zones, balanced_zone_stats, zone_polygons, gap_filled_zones, gap_filled_cells, bisection_tour, legacy_points, sweep_points, zone_tour, field_zones, field_zone_requests, ndvi_images,
 )}
