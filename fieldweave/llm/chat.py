@@ -10,7 +10,8 @@ by ``unescape``; texts without control strings or ``~`` stay as they are.
 
 Defined cases: a null text is the empty text; a null role reads back as the empty role; a role other than user,
 assistant and system is written out in the template; turns are ordered by turn (null first), role and text, repeated
-rows stay; rows without conv_id form one conversation; extra columns are ignored.
+rows stay; rows without conv_id form one conversation; very long texts are written whole; an empty table gives no
+rows; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations

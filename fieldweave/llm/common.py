@@ -39,9 +39,12 @@ _SOLID = ~((_BYTE == 32) | ((_BYTE >= 9) & (_BYTE <= 13)))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where none is set a temporary one will do in local mode, as
+    in tests; on a cluster other machines would not see it."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         key = spark.sparkContext.applicationId
         given = _own_dirs.get(key) or _own_dirs.setdefault(key, tempfile.mkdtemp(prefix="fieldweave-"))
     return given.rstrip("/")
@@ -62,6 +65,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            to = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            to.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(to, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,8 +13,8 @@ least member of its component), and components are joined across nodes by large
 
 Defined cases: texts of one to four words are one shingle of all of them; texts without words are copies of one
 another and like nothing else; null texts have no words; a null id is a document too (the class is named by the least
-id that is not null); repeated rows are copies; an empty table gives no rows; extra columns are ignored by ``join``
-and kept by ``dedupe``.
+id that is not null); repeated rows are copies; very long texts are compared whole; an empty table gives no rows;
+extra columns are ignored by ``join`` and kept by ``dedupe``, whatever their names.
 """
 
 from __future__ import annotations
@@ -249,7 +249,8 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         least = big.groupBy("u").agg(F.min("v").alias("m"))
         both = big.join(least, "u")
         small = both.select("u", F.col("m").alias("v")).unionByName(both.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        e = C.materialise(small, name)
+        last, e = e, C.materialise(small, name)
+        C.remove(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return e
@@ -272,6 +273,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     reps = reps.drop("paths").join(links, "rid", "left").join(star.withColumnRenamed("u", "rid"), "rid", "left").withColumn("root", F.coalesce("v", "rid"))
     reps = C.materialise(reps, "rooted")
+    C.remove(members, found, star)
     tops = reps.groupBy("root").agg(F.min("head").alias("top"))
     named = C.materialise(reps.join(tops, "root"), "named").select("k1", "k2", F.col("head.doc_id").alias("rep_id"), "top", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = sig.select("rid", "doc_id", "k1", "k2").join(named, ["k1", "k2"])

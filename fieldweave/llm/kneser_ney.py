@@ -389,6 +389,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         notes = [json.loads(r["meta"]) for r in C.map_arrow(shuffled(rows), words, OUT).filter("kind = 'meta'").select("meta").collect()]  # one row a shard
         for step in steps:
             notes += [json.loads(r["meta"]) for r in step.filter("kind = 'meta'").select("meta").collect()]
+        C.remove(*steps)
     finally:
         spark.conf.set(CLEAN_UP, was)
     total = lambda k, f: [sum(m["of"][i] for m in notes if m["k"] == k) for i in range(4)] if f == "of" else sum(m[f] for m in notes if m["k"] == k)

@@ -8,8 +8,9 @@ by their words, not only their hashes, it covers enough of the template, and it
 The templates are fixed and few, so their hashes stand in the scan as a set and their rows are broadcast. Only votes
 leave the scan; whole texts are never shuffled.
 
-Defined cases: a null text is empty; a document without words has no label and score 0; repeated rows are scanned
-each for itself; extra columns are ignored.
+Defined cases: a null text is empty; a document without words has no label and score 0; very long texts are scanned
+whole; repeated rows are scanned each for itself; an empty table gives no rows; extra columns are ignored whatever
+their names.
 """
 
 from __future__ import annotations
@@ -34,14 +35,18 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 TEMPLATES = {
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction": "mit",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit",
     "licensed under the apache license version 2 0": "apache-2",
     "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache-2",
     "licensed under cc by nc 4 0": "cc-by-nc",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc",
     "this work is licensed under the gnu general public license version 3": "gpl-3",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license": "apache-2",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsd",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "isc",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by",
@@ -63,7 +68,7 @@ def votes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = spark.createDataFrame(template_rows(), "template int, label string, base boolean, m int, tpos int, gram string")
     parts = F.split("gram", " ")
     rows = rows.withColumn("h", F.xxhash64(*(parts[i] for i in range(K))))
-    wanted = [r["h"] for r in rows.select("h").distinct().collect()]  # fixed templates: under a thousand
+    wanted = [r["h"] for r in rows.select("h").distinct().collect()]  # of the fixed templates alone
     words = F.regexp_extract_all(C.lowered(F.col("text")), F.lit(f"({C.WORD_PATTERN})"), F.lit(1))
     scanned = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", words.alias("words"))
     hashed = F.transform("words", lambda w, i: F.struct(i.alias("pos"), F.xxhash64(w, *(F.get("words", i + k) for k in range(1, K))).alias("h")))

@@ -7,8 +7,9 @@ place) stitches documents that cross block borders: it gives each block its firs
 began. A document's count is the distance between its separators.
 
 Defined cases: an empty file has no document; a document without tokens counts 0; ids after the last separator are one
-more document, not closed; blocks without a separator only pass on; a null text is encoded as the empty text; repeated
-rows and ids are documents of their own; an empty table gives no files.
+more document, not closed; blocks without a separator only pass on; a null text is encoded as the empty text; very long
+texts cross blocks as any do; repeated rows and ids are documents of their own; an empty table gives no files; extra
+columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -93,13 +94,15 @@ def scan(spark: SparkSession, folder: str, files: DataFrame, separator: int = SE
                     pa.array([name]), pa.array([at // width], pa.int64()), pa.array([at // width + len(ids)], pa.int64()), pa.array([found], pa.list_(pa.int64())), pa.array([last], pa.int64()),
                 ], ["file", "first", "end", "found", "last"])
 
-    blocks = C.map_arrow(spans, run, "file string, first long, end long, found array<long>, last long")
+    blocks = C.materialise(C.map_arrow(spans, run, "file string, first long, end long, found array<long>, last long"), "separators")
     before = Window.partitionBy("file").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("file").orderBy("first").rowsBetween(1, Window.unboundedFollowing)
-    blocks = blocks.select(
-        "*", F.coalesce(F.sum(F.size("found")).over(before), F.lit(0)).alias("number"), (F.coalesce(F.max("last").over(before), F.lit(-1)) + 1).alias("open"),
+    # the scan over a file's blocks has four numbers a block; the separators themselves stay apart, however large the file
+    places = blocks.select("file", "first", F.size("found").alias("n"), "last").select(
+        "file", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("number"), (F.coalesce(F.max("last").over(before), F.lit(-1)) + 1).alias("open"),
         F.count("*").over(after).alias("following"),
     )
+    blocks = blocks.join(places, ["file", "first"])
     closed = F.transform("found", lambda p, i: F.struct((F.col("number") + i).alias("document"), F.when(i == 0, F.col("open")).otherwise(F.get("found", i - 1) + 1).alias("start"), p.alias("stop"), F.lit(True).alias("closed")))
     since = F.coalesce(F.col("last") + 1, F.col("open"))
     rest = F.when((F.col("following") == 0) & (since < F.col("end")), F.array(F.struct((F.col("number") + F.size("found")).alias("document"), since.alias("start"), F.col("end").alias("stop"), F.lit(False).alias("closed"))))

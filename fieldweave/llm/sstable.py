@@ -14,7 +14,8 @@ bit flipped. A lookup asks the Bloom filter, binary-searches the sparse index an
 another in key order, so a document's place among all ids is its shard's base plus its place within.
 
 Defined cases: a null text is encoded as the empty text (just the end id); null ids sort first; repeated ids are kept
-side by side, ordered by a hash of their text; an empty table gives no shard.
+side by side, ordered by a hash of their text; a text longer than a block is a block of its own; an empty table gives no
+shard; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
