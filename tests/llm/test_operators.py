@@ -89,6 +89,70 @@ def test_equal_substrings_share_names():
         assert n1[20:-5].tolist() == n2[-(len(n1) - 20) : -5].tolist()
 
 
+M64 = (1 << 64) - 1
+
+
+def mixed(h):
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & M64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & M64
+    return h ^ h >> 31
+
+
+def parsed(sym, salt, raw):
+    """One level of the parse, symbol by symbol."""
+    runs = []
+    for x in sym:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    label = [x for x, _ in runs]
+    for _ in range(3 if raw else 4):
+        tossed = []
+        for i, x in enumerate(label):
+            k = ((x ^ label[i - 1]) & -(x ^ label[i - 1])).bit_length() - 1 if i else 0
+            tossed.append(2 * k + (x >> k & 1))
+        label = tossed
+    names, phrase = [], []
+    for i, (x, run) in enumerate(runs):
+        if i and label[i] > label[i - 1] and i + 1 < len(runs) and label[i] > label[i + 1]:
+            names.append(phrase)
+            phrase = []
+        phrase.append(mixed((x + 1 + (run << (40 if raw else 1)) * (salt * 2 + 1)) & M64))
+    power = 0x9E3779B97F4A7C15 | 1
+    return [mixed((sum(v * pow(power, i % 4096, 1 << 64) for i, v in enumerate(p)) + salt) & M64) for p in [*names, phrase]] if runs else []
+
+
+def sketched(text):
+    """The whole fingerprint, name by name."""
+    least, sym, k = [None] * fingerprints.BINS, list(text.encode()), 0
+    while sym:
+        k += 1
+        sym = parsed(sym, k, k == 1)
+        if k >= fingerprints.FIRST_LEVEL:
+            for x in sym:
+                for copy in range(fingerprints.COPIES if k > fingerprints.FIRST_LEVEL else 1):
+                    h = mixed((x + 1000 * k + copy) & M64)
+                    b, v = h >> 57, h & (1 << 57) - 1
+                    least[b] = v if least[b] is None else min(least[b], v)
+            if len(sym) <= 1:
+                break
+    return "".join(f"{0 if v is None else (mixed(v) & 0xFFFF or 1):04x}" for v in least)
+
+
+@pytest.mark.parametrize("text", ["", "a", "aa", "ab", "zzzzzzz", "é日本 " * 30, prose(21, 60), prose(22, 900), "ab" * 700, "x" * 5000 + "y"])
+def test_fingerprints_equal_brute_force(text):
+    assert fingerprints.hexed(fingerprints.sketch_texts([text, prose(3, 40)]))[0] == sketched(text)
+
+
+def test_a_long_text_is_parsed_to_its_top():
+    levels, (sym, at) = 0, common.text_bytes(pa.array([prose(31, 60_000, 5000)]))
+    while len(sym) > 1:
+        levels += 1
+        sym, at = fingerprints.level(sym, at, levels)
+    assert levels > 6
+
+
 def test_likeness_follows_the_shared_part():
     parts = [prose(100 + i, 300, 5000) for i in range(2)]
     mixed = [" ".join([*parts[0].split()[:k], *parts[1].split()[k:]]) for k in (300, 225, 150, 0)]
