@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Hashable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +58,33 @@ def lookup(state: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
     found = requests.alias("q").join(live(state, now).alias("s"), cond, "left")
     rest = [F.col(f"s.{c}") for c in state.columns if c not in requests.columns]
     return found.select(*(F.col(f"q.{c}") for c in requests.columns), *rest, F.col("s.expires_at").isNotNull().alias("hit"))
+
+
+class Transient:
+    """Persisted tables of a session by key, for some seconds: asked for later they are gone and made anew. What has
+    expired is released when anything is asked for; with no seconds nothing is kept."""
+
+    def __init__(self, seconds: float, clock: Callable[[], float] = time.monotonic):
+        self.seconds, self.clock = seconds, clock
+        self.held: dict[Hashable, tuple[float, DataFrame]] = {}
+
+    def get(self, key: Hashable) -> DataFrame | None:
+        now = self.clock()
+        for k in [k for k, (until, _) in self.held.items() if now > until]:
+            self.held.pop(k)[1].unpersist()
+        return self.held[key][1] if key in self.held else None
+
+    def put(self, key: Hashable, table: DataFrame) -> DataFrame:
+        self.drop(key)
+        if self.seconds > 0:
+            self.held[key] = self.clock() + self.seconds, table.persist()
+        return table
+
+    def drop(self, key: Hashable) -> None:
+        if key in self.held:
+            self.held.pop(key)[1].unpersist()
+
+    def through(self, key: Hashable, make: Callable[[], DataFrame]) -> DataFrame:
+        """What is held under the key, else what is made, which is then held."""
+        found = self.get(key)
+        return self.put(key, make()) if found is None else found

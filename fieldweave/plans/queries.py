@@ -362,6 +362,12 @@ def gap_filled_cells(spark: SparkSession, sf: str) -> DataFrame:
     return polygons.fill_gaps(bisection_zones(spark, sf), every).select("field_id", "r", "c", "zone")
 
 
+def budgeted_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Uncovered pieces of the outlines, the largest first, go to zones that have room for them."""
+    z = zoned(spark, sf).select("field_id", "r", "c", "zone")
+    return polygons.fill_by_budget(z, polygons.covered_cells(D.rings(fields(spark, sf)), N, N), 40.0)
+
+
 def bisection_tour(spark: SparkSession, sf: str) -> DataFrame:
     """The tour over zones whose paths go from their first cell to their last."""
     ends = bisection_zones(spark, sf).groupBy("field_id", "zone").agg(F.array(F.min(F.struct("r", "c")), F.max(F.struct("r", "c"))).alias("ends"))
@@ -443,5 +449,5 @@ QUERIES = {f.__name__: f for f in (
     mask_components4, mask_components8, mask_runs, dilate4, outline_edges, mask_sets, zone_borders, zone_rank, zone_size_ratio, zone_rollup,
     safe_pixels, quantile_rows, distinct_values, pca_axis, path_metrics, utm_project, ring_area_utm, round_trip, coverage_area, bounding_boxes,
     cache_upsert_latest, cache_live, cache_lookup, request_validation, response_headers, scene_windows, raster_blobs, farthest_points,
-    grown_zones, balanced_zone_stats, zone_polygons, gap_filled_zones, gap_filled_cells, bisection_tour, legacy_points, sweep_points, zone_tour, field_zones, field_zone_requests, ndvi_images,
+    grown_zones, balanced_zone_stats, zone_polygons, gap_filled_zones, gap_filled_cells, budgeted_gaps, bisection_tour, legacy_points, sweep_points, zone_tour, field_zones, field_zone_requests, ndvi_images,
 )}
