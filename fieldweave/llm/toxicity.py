@@ -1,6 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are a bounded, seeded sample of the labelled documents (``MAX_EXAMPLES``; equal texts once). A text is its
+Examples are a bounded, seeded sample of the labelled documents (``MAX_EXAMPLES``; equal texts once), half of them
+toxic as far as there are so many; the calibration weighs each class as it is among all labels. A text is its
 TF-IDF vector over every word of the examples, with document frequencies counted over all documents; labels choose no
 words. Its neighbours are the examples of the highest exact cosine, found in a block-max inverted index: examples
 stand in blocks of like ones. Rare words are met through their postings; of the common words, whose postings are
@@ -8,7 +9,7 @@ long, each block holds the greatest weights, which bound what they can add. Bloc
 bounds, until no bound exceeds the k-th best cosine; only there the common words are summed up.
 
 Votes weighted by nearness tell the score: that of the ``K`` nearest examples, near copies far ahead, and those of
-twice, four times and so on as many, up to twice the number of toxic (or, if fewer, other) examples; in the wide ones words
+twice, four times and so on as many (``WIDE`` at most); in the wide ones words
 tell that are few in a long text. The votes are calibrated by a logistic fit of the examples' own, each without itself. Evidence is the nearest examples' ids and, of a text
 called toxic, the words that bring it near to toxic neighbours rather than to others.
 
@@ -35,8 +36,8 @@ from . import common as C
 FOLDS, HELD_OUT = 5, 0
 #: The classifier is fitted on at most so many labelled documents.
 MAX_EXAMPLES = 8000
-#: The fewest neighbours; how far ahead near copies are at most; the weight of the rate.
-K, NEAR, PRIOR = 15, 0.01, 1.0
+#: The fewest and most neighbours; how far ahead near copies are at most; the weight of the rate.
+K, WIDE, NEAR, PRIOR = 15, 960, 0.01, 1.0
 #: A word counts tf * (1 + SATURATION) / (tf + SATURATION) times its idf.
 SATURATION = 1.0
 #: Of the index: examples a block, texts at once, from which share of the examples on a word is common and how many
@@ -215,9 +216,9 @@ class Model:
         return np.searchsorted(key, np.arange(n + 1) * words), key % words, times
 
     def radii(self) -> list[int]:
-        """From K on each twice the one before, up to twice the number of toxic (or, if fewer, other) examples."""
+        """From K on each twice the one before, up to twice the number of toxic (or, if fewer, other) examples, or WIDE."""
         out = [K]
-        while out[-1] <= min(self.y.sum(), len(self.y) - self.y.sum()):
+        while 2 * out[-1] <= WIDE and out[-1] <= min(self.y.sum(), len(self.y) - self.y.sum()):
             out.append(2 * out[-1])
         return out
 
@@ -234,19 +235,21 @@ class Model:
             out.append(((w * bad[:, :k]).sum(1) + PRIOR * self.none) / (w.sum(1) + PRIOR))
         return np.stack(out, 1)
 
-    def fit(self, ids: list[int], y: np.ndarray, rows: list[Vector]) -> None:
-        """Index the examples, given (terms, times), and calibrate on each one's votes without itself."""
+    def fit(self, ids: list[int], y: np.ndarray, rows: list[Vector], rate: float) -> None:
+        """Index the examples, given (terms, times), and calibrate on each one's votes without itself; rate: the share
+        of toxic ones among all that are labelled, which examples of either class stand for by their weight."""
         self.ids, self.y = ids, y
         self.both = len(y) > 0 and 0 < y.sum() < len(y)
-        self.rate = float(y.mean()) if len(y) else 0.0
+        self.rate = rate if self.both else float(y.mean()) if len(y) else 0.0
+        weight = np.where(y > 0, self.rate / y.mean(), (1 - self.rate) / (1 - y.mean())) if self.both else np.ones(len(y))
         empty = np.array([not len(t) for t, _ in rows], bool)
-        self.none = float((y[empty].sum() + self.rate) / (empty.sum() + 1)) if len(y) else 0.0
+        self.none = float(((y * weight)[empty].sum() + self.rate) / (weight[empty].sum() + 1)) if len(y) else 0.0
         self.index = BlockMaxIndex([self.vector(*r) for r in rows], len(self.hashes))
         if self.both:
             # in slices: all neighbours at once would be many times as large as the examples
             x = logit(np.concatenate([self.votes(*self.neighbours(rows[a : a + SLICE], np.arange(a, min(a + SLICE, len(rows))))) for a in range(0, len(rows), SLICE)]))
             self.middle, self.spread = x.mean(0), x.std(0) + 1e-9
-            self.line = logistic((x - self.middle) / self.spread, y)
+            self.line = logistic((x - self.middle) / self.spread, y, weight)
 
     def score(self, votes: np.ndarray) -> np.ndarray:
         if not self.both:
@@ -267,23 +270,23 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Intercept and slopes by Newton's method with halved steps; columns whose slope would fall are left out, the
     steepest first, so that no vote ever lowers the score."""
     m, use = np.concatenate([np.ones((len(x), 1)), x], 1), np.ones(x.shape[1] + 1, bool)
 
     def loss(b: np.ndarray) -> float:
         z = m @ b
-        return float(np.logaddexp(0, z).sum() - y @ z + ridge / 2 * (b @ b))
+        return float(weight @ (np.logaddexp(0, z) - y * z) + ridge / 2 * (b @ b))
 
     while True:
         beta = np.zeros(m.shape[1])
         for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(m @ beta, -50, 50)))
-            grad = m.T @ (y - p) - ridge * beta
+            grad = m.T @ (weight * (y - p)) - ridge * beta
             part = m[:, use]
             step = np.zeros_like(beta)
-            step[use] = np.linalg.solve((part * (p * (1 - p))[:, None]).T @ part + ridge * np.eye(part.shape[1]), grad[use])
+            step[use] = np.linalg.solve((part * (weight * p * (1 - p))[:, None]).T @ part + ridge * np.eye(part.shape[1]), grad[use])
             now, size = loss(beta), 1.0
             while loss(beta + size * step) > now + 1e-12 and size > 1e-6:
                 size /= 2
@@ -296,24 +299,31 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
         use[low] = False
 
 
-def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic, text) of the sample, written once: the first by a seeded hash, one text an id, equal texts once."""
+def examples(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """(doc_id, toxic, text) of the sample, written once, and the share of toxic ones among all that are labelled. Half
+    of the sample is toxic, as far as there are so many of either class; of each the first by a seeded hash, one text
+    an id, equal texts once."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(C.crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(MAX_EXAMPLES).collect()
-    marked = spark.createDataFrame([(r["doc_id"], int(r["toxic"] > 0)) for r in sample], "doc_id long, toxic int")
+    known = C.materialise(known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")), "toxic-labels")
+    count = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    bad, good = count.get(1, 0), count.get(0, 0)
+    most = min(bad, max(MAX_EXAMPLES // 2, MAX_EXAMPLES - good))
+    sample: list = []
+    for toxic, n in ((1, most), (0, min(good, MAX_EXAMPLES - most))):
+        sample += known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(n).collect()
+    marked = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in sample], "doc_id long, toxic int")
     # marked has MAX_EXAMPLES rows at most
     one = rows.join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("x"))
     first = one.groupBy(F.col("x.h")).agg(F.min(F.struct("doc_id", "x")).alias("y"))
-    return C.materialise(first.select("y.doc_id", "y.x.toxic", "y.x.text"), "toxic-examples")
+    return C.materialise(first.select("y.doc_id", "y.x.toxic", "y.x.text"), "toxic-examples"), bad / max(1, bad + good)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     C.prepare(docs.sparkSession)
-    kept = examples(docs, labels)
+    kept, rate = examples(docs, labels)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,7 +362,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return lists.flatten().to_numpy().astype(np.int64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
 
     (terms, offs), (times, _) = flat("terms"), flat("times")
-    model.fit(found["doc_id"].to_pylist(), found["toxic"].to_numpy().astype(float), [(terms[x:y], times[x:y]) for x, y in zip(offs, offs[1:])])
+    model.fit(found["doc_id"].to_pylist(), found["toxic"].to_numpy().astype(float), [(terms[x:y], times[x:y]) for x, y in zip(offs, offs[1:])], rate)
     del found, terms, times, count
     C.trim()
     return model
