@@ -134,23 +134,37 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return C.map_arrow(kept, run, schema)
 
 
+def borders(quantiles: list[int] | None, known: int, rows: int, n: int) -> list[tuple[bool, int, int]]:
+    """Where ranges begin, as (has an id, id, hash of the text). An id that several quantiles meet, and rows without an
+    id, get as many ranges as their share asks for, by the hash."""
+    def parts(k: int) -> list[int]:
+        return [-(1 << 63) + (j << 64) // k for j in range(1, k)]
+
+    out = [(False, 0, t) for t in parts(max(1, round(n * (rows - known) / max(1, rows))))]
+    for c in sorted(set(quantiles or [])):
+        out += [(True, c, -(1 << 63)), *((True, c, t) for t in parts(quantiles.count(c)))]
+    return out
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(bucket, doc_id, text, tie, ghost): the documents in ordered id ranges, each range closed by a copy, marked as
     ghost, of the first document of the range after it. Ranges come from quantiles of the ids; only their borders,
-    one row a range, reach the driver."""
+    one row a range, reach the driver. An id of very many rows is cut by their texts."""
     spark = docs.sparkSession
     n = C.partitions(spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("tie", F.xxhash64("text"))
-    cuts = keyed.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    # a range holds ids from its cut on; null ids come before all
+    cuts = borders(*keyed.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000), F.count("doc_id"), F.count("*")).first(), n)
+    # a range holds what comes from its cut on; null ids come before all
     spot = F.lit(0)
     if cuts:
-        table = F.array(*map(F.lit, cuts))
-        spot = F.when(F.col("doc_id").isNull(), 0).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), lambda s, _: F.when(
-            s["lo"] < s["hi"], F.when(F.get(table, ((s["lo"] + s["hi"]) / 2).cast("int")) <= F.col("doc_id"),
-            F.struct((((s["lo"] + s["hi"]) / 2).cast("int") + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), ((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))).otherwise(s))["lo"])
+        kind = "struct<known:boolean,id:bigint,tie:bigint>"
+        here = F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), F.col("tie")).cast(kind)
+        table = F.array(*(F.struct(*map(F.lit, c)).cast(kind) for c in cuts))
+        middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        step = lambda s: F.when(F.get(table, middle(s)) <= here, F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi")))
+        rounds = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+        spot = F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), lambda s, _: F.when(s["lo"] < s["hi"], step(s)).otherwise(s))["lo"]
     keyed = keyed.withColumn("bucket", spot)
     heads = sorted((r["bucket"], r["h"]) for r in keyed.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("h")).collect())
     if not heads:

@@ -89,6 +89,21 @@ def test_equal_substrings_share_names():
         assert n1[20:-5].tolist() == n2[-(len(n1) - 20) : -5].tolist()
 
 
+def test_a_hot_id_is_cut_into_ranges(spark):
+    rows = [(7, prose(i, 6)) for i in range(300)] + [(None, prose(1000 + i, 6)) for i in range(300)] + [(i, prose(2000 + i, 6)) for i in range(8, 208)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    per = {(r["doc_id"], r["bucket"]): r["count"] for r in fingerprints.with_next(docs).filter("NOT ghost").groupBy("doc_id", "bucket").count().collect()}
+    assert sum(per.values()) == len(rows) and sum(i is None for i, _ in per) > 1 and sum(i == 7 for i, _ in per) > 1
+    # the order of equal ids is by hash: every document follows another, and each follows once
+    got = fingerprints.compare(docs).collect()
+    order = [t for _, t in sorted((((r["doc_id"] is not None, r["doc_id"] or 0, r["h"]), r["text"]) for r in docs.selectExpr("doc_id", "text", "xxhash64(text) h").collect()))]
+    want = collections.Counter()
+    for a, b in zip(order, [*order[1:], order[0]]):
+        n = len(a) // 4
+        want[hashlib.sha256((a[: len(a) - n] + b[:n]).encode()).hexdigest()] += 1
+    assert collections.Counter(r["edited_sha256"] for r in got) == want
+
+
 M64 = (1 << 64) - 1
 
 
