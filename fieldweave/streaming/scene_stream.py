@@ -36,21 +36,23 @@ def best_scene_stream(scenes: DataFrame, ttl: str = "6 hours", late: str = "1 da
         if state.hasTimedOut:
             state.remove()
             return
-        best = tuple(state.get) if state.exists else None
-        was = best
+        *best, last = tuple(state.get) if state.exists else (0,)
+        was = best = tuple(best)
         for pdf in batches:
-            for row in zip(pdf["cloud_cover"].fillna(100.0), pdf["acquired"].astype("int64"), pdf["scene_id"]):
-                if best is None or row < best:
-                    best = tuple(row)
-        if best is not None:
-            state.update((float(best[0]), int(best[1]), int(best[2])))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + wait)
+            at = pdf["acquired"].astype("datetime64[us]").astype("int64")
+            for row in zip(pdf["cloud_cover"].fillna(100.0), at, pdf["scene_id"]):
+                best = min(best, row) if best else row
+                last = max(last, row[1])
+        if best:
+            state.update((float(best[0]), int(best[1]), int(best[2]), int(last)))
+            # counted from the scenes' own time: the watermark of a first batch is still at its beginning
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(last) // 1000) + wait)
             if best != was:
-                yield pd.DataFrame({"field_id": [key[0]], "scene_id": [int(best[2])], "acquired": pd.to_datetime([best[1]]), "cloud_cover": [float(best[0])]})
+                yield pd.DataFrame({"field_id": [key[0]], "scene_id": [int(best[2])], "acquired": pd.to_datetime([int(best[1])], unit="us"), "cloud_cover": [float(best[0])]})
 
     rows = timed(scenes).withWatermark("acquired", late)
     return rows.groupBy("field_id").applyInPandasWithState(
-        update, BEST, "cloud_cover double, acquired long, scene_id long", "update", GroupStateTimeout.EventTimeTimeout)
+        update, BEST, "cloud_cover double, acquired long, scene_id long, last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_rasters(cache: DataFrame, batch_time: str) -> DataFrame:

@@ -79,3 +79,28 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert {(r["field_id"], r["scene_id"]) for r in spark.table("best").collect()} == {(1, 11), (2, 12)}
     assert sum(r["n"] for r in spark.table("counts").collect()) == 4
+
+
+def test_late_scenes_and_expired_state(spark, tmp_path):
+    """Scenes arrive file by file: one beyond the watermark is not counted, and a field without scenes for long starts anew."""
+    kind = "field_id long, scene_id long, acquired timestamp, cloud_cover double"
+    told, counted = [], {}
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "field_id long, scene_id long, acquired string, cloud_cover double").selectExpr("field_id", "scene_id", "CAST(acquired AS TIMESTAMP) acquired", "cloud_cover").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for name, make, take in (
+            ("best", scene_stream.best_scene_stream, lambda df, _: told.extend((r["field_id"], r["scene_id"], str(r["acquired"]), r["cloud_cover"]) for r in df.collect())),
+            ("counts", scene_stream.windowed_counts, lambda df, _: counted.update({str(r["start"])[:10]: r["n"] for r in df.collect()})),
+        ):
+            q = make(spark.readStream.schema(kind).parquet(f"{tmp_path}/in")).writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+            q.awaitTermination()
+
+    arrive([(1, 10, "2024-05-10 00:00:00", 5.0), (2, 20, "2024-05-10 00:00:00", 9.0)])
+    arrive([(1, 11, "2024-05-10 06:00:00", 50.0), (2, 21, "2024-05-10 07:00:00", 3.0)])  # only the second is better
+    assert sorted(told) == [(1, 10, "2024-05-10 00:00:00", 5.0), (2, 20, "2024-05-10 00:00:00", 9.0), (2, 21, "2024-05-10 07:00:00", 3.0)]
+    arrive([(2, 22, "2024-05-18 00:00:00", 1.0)])  # the watermark goes on to the 17th
+    arrive([(2, 23, "2024-05-18 01:00:00", 2.0), (3, 30, "2024-05-01 00:00:00", 2.0)])  # the last is late for its window
+    before = dict(counted)
+    arrive([(1, 12, "2024-05-18 02:00:00", 60.0)])  # field 1 has expired, so this is its best
+    assert told[-1] == (1, 12, "2024-05-18 02:00:00", 60.0)
+    assert sum(before.values()) == 6 and not any(day < "2024-05-06" for day in counted)
