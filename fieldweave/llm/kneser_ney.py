@@ -1,7 +1,9 @@
 """Language-model scoring with an interpolated modified Kneser-Ney n-gram model, of order ``ORDER`` or any from 2 on.
 
-Counting goes down the orders. Each task counts its longest n-grams and deals them out, packed, by ranges of the hash
-of their context (their words but the last). A shard's task merges them, writes them as one sorted hash array with
+Counting begins with the words. A shard of words (a range of their hashes) numbers its own by how frequent they are, and
+a word's number is its place there times the number of shards plus the shard: frequent words have small numbers, which
+pack well, without a sort of all. Then it goes down the orders. Each task counts its longest n-grams, by numbers, and
+deals them out, packed, by ranges of the hash of their context (their words but the last). A shard's task merges them, writes them as one sorted hash array with
 counts into the shared folder, and their contexts as another with, of the n-grams that each begins, the sum of the
 counts and how many are 1, 2, and 3 or more; it deals out the n-grams without their first word, whose counts are the
 numbers of different words before them. Word pairs are dealt by ranges of their own hash, so that a frequent word is no
@@ -40,12 +42,13 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-START, END = np.uint64(1), np.uint64(2)
+#: Hashes of the start mark, of which no token is counted, and of the end; the number of every unknown word.
+START, END, UNKNOWN = np.uint64(1), np.uint64(2), 1 << 62
 FOLDS, HELD_OUT = 7, 2
 ORDER = 3
-#: What a word's row holds: tokens, different words before it, and of the pairs it begins: their sum, and how many
-#: were counted once, twice, and three times or more.
-STATS = ("tokens", "before", "begun", "once", "twice", "more")
+#: What a word's row holds besides its tokens: different words before it, and of the pairs it begins: their sum, and
+#: how many were counted once, twice, and three times or more.
+STATS = ("before", "begun", "once", "twice", "more")
 #: n-grams that a task holds before it deals them out; hashes a bucket; characters of text a shard, from which the
 #: number of shards follows (but at least the session's partitions).
 HELD, BUCKET, SHARD_CHARS = 2_000_000, 8, 1 << 26
@@ -58,10 +61,10 @@ def joined(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def chained(words: list[np.ndarray]) -> np.ndarray:
-    """The hash of a sequence of words."""
-    out = words[0]
+    """The hash of a sequence of words, by numbers; a single word's is its number."""
+    out = words[0].astype(np.uint64)
     for w in words[1:]:
-        out = joined(out, w)
+        out = joined(out, w.astype(np.uint64))
     return out
 
 
@@ -71,20 +74,21 @@ def placed(h: np.ndarray) -> np.ndarray:
         return C.mix(h + np.uint64(0x632BE59BD9B4E019))
 
 
-def streams(texts: pa.Array, order: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
-    """(texts, the order - 1 words before each word and the word itself, offsets) of successive runs of texts; each
-    text has its end as a word."""
+def streams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(texts, hashes of their words and, after each text, of the end, offsets) of successive runs of texts."""
     for a, b, t in C.tokens(texts, words=False):
-        n = b - a
-        w = np.insert(t.hash, t.offs[1:], END)
-        offs = t.offs + np.arange(n + 1)
-        at = np.arange(len(w)) - np.repeat(offs[:-1], np.diff(offs))
-        grams = [w]
-        for k in range(1, order):
-            v = np.full_like(w, START)
-            v[k:] = np.where(at[k:] >= k, w[:-k], START)
-            grams.insert(0, v)
-        yield n, grams, offs
+        yield b - a, np.insert(t.hash, t.offs[1:], END), t.offs + np.arange(b - a + 1)
+
+
+def grams_of(words: np.ndarray, offs: np.ndarray, start: int, order: int) -> list[np.ndarray]:
+    """The order - 1 words before each word of some texts, and the word itself, by numbers."""
+    at = np.arange(len(words)) - np.repeat(offs[:-1], np.diff(offs))
+    out = [words]
+    for k in range(1, order):
+        v = np.full_like(words, start)
+        v[k:] = np.where(at[k:] >= k, words[:-k], start)
+        out.insert(0, v)
+    return out
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -92,7 +96,8 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def pack(cols: list[np.ndarray]) -> bytes:
-    """64-bit keys plain; other numbers in the fewest of 1, 2, 4 or 8 bytes that hold all but a few, those apart."""
+    """Hashes plain; other numbers in the fewest of 1, 2, 4 or 8 bytes that hold all but a few, those apart, all first
+    bytes before all second ones."""
     out = [np.array([len(cols[0]), len(cols)], "<u8").tobytes()]
     for c in cols:
         if c.dtype == np.uint64:
@@ -101,7 +106,8 @@ def pack(cols: list[np.ndarray]) -> bytes:
             width = next(w for w in (1, 2, 4, 8) if w == 8 or np.count_nonzero(c >= (1 << 8 * w) - 1) * 8 <= len(c) * w / 2)
             most = (1 << 8 * width) - 1 if width < 8 else TOP
             big = c[c >= most]
-            out += [str(width).encode(), np.array([len(c), len(big)], "<u8").tobytes(), np.minimum(c, most).astype(f"<u{width}").tobytes(), big.astype("<i8").tobytes()]
+            planes = np.minimum(c, most).astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+            out += [str(width).encode(), np.array([len(c), len(big)], "<u8").tobytes(), planes.tobytes(), big.astype("<i8").tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
@@ -118,7 +124,8 @@ def unpack(raw: bytes) -> list[np.ndarray]:
             width = int(kind)
             big = int(np.frombuffer(raw, "<u8", 1, at + 8)[0])
             at += 16
-            c = np.frombuffer(raw, f"<u{width}", n, at).astype(np.int64)
+            planes = np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n)
+            c = np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
             if big:
                 c[c == ((1 << 8 * width) - 1 if width < 8 else TOP)] = np.frombuffer(raw, "<i8", big, at + width * n)
             at += width * n + 8 * big
@@ -127,16 +134,14 @@ def unpack(raw: bytes) -> list[np.ndarray]:
 
 
 def pack_grams(words: list[np.ndarray], c: np.ndarray) -> bytes:
-    """n-grams by places in a list of their words, in the order of the first word, whose places are told by steps."""
-    u, at = np.unique(np.concatenate(words), return_inverse=True)
-    cols = at.reshape(len(words), -1)
-    order = np.argsort(cols[0], kind="stable")
-    return pack([u, np.diff(cols[0][order], prepend=0), *(x[order] for x in cols[1:]), c[order]])
+    """n-grams in the order of their first word, which is told by steps."""
+    order = np.argsort(words[0], kind="stable")
+    return pack([np.diff(words[0][order], prepend=0), *(w[order] for w in words[1:]), c[order]])
 
 
 def unpack_grams(raw: bytes) -> list[np.ndarray]:
-    u, first, *cols, c = unpack(raw)
-    return [u[np.cumsum(first)], *(u[x] for x in cols), c]
+    first, *rest = unpack(raw)
+    return [np.cumsum(first), *rest]
 
 
 def merged(key: np.ndarray, cols: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -147,9 +152,9 @@ def merged(key: np.ndarray, cols: list[np.ndarray], sums: list[np.ndarray]) -> t
     return key[at], [c[order[at]] for c in cols], [np.add.reduceat(x[order], at) if len(at) else x for x in sums]
 
 
-def dealt(h: np.ndarray, shards: int, packed) -> tuple[list[int], list[bytes]]:
-    """(shards, one pack a shard) of rows dealt by their hash; packed: packs the rows of some places."""
-    which = shard_of(h, shards).astype(np.int64)
+def dealt(which: np.ndarray, shards: int, packed) -> tuple[list[int], list[bytes]]:
+    """(shards, one pack a shard) of rows, given their shards; packed: packs the rows of some places."""
+    which = which.astype(np.int64)
     order = np.argsort(which, kind="stable")
     cuts = np.searchsorted(which[order], np.arange(shards + 1))
     full = [s for s in range(shards) if cuts[s + 1] > cuts[s]]
@@ -210,11 +215,11 @@ def decoded(a: dict[str, np.ndarray], at: np.ndarray, columns: int) -> list[np.n
     return out
 
 
-def store(folder: str, name: str, place: np.ndarray, cols: list[np.ndarray]) -> None:
-    """A sorted hash array, given its places in order."""
+def store(folder: str, name: str, place: np.ndarray, values: dict[str, np.ndarray]) -> None:
+    """A sorted hash array, given its places in order, with what ``coded`` or else makes of its numbers."""
     bits = max(0, int(len(place) // BUCKET).bit_length())
     index = np.searchsorted(place >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(place)])
-    C.store_arrays(folder, name, {"bits": np.array([bits], np.int64), "index": index.astype(np.uint32), "hash": (place >> np.uint64(32 - bits)).astype(np.uint32), **coded(cols)})
+    C.store_arrays(folder, name, {"bits": np.array([bits], np.int64), "index": index.astype(np.uint32), "hash": (place >> np.uint64(32 - bits)).astype(np.uint32), **values})
 
 
 def search(a: dict[str, np.ndarray], place: np.ndarray) -> np.ndarray:
@@ -251,17 +256,39 @@ class Model:
         """The numbers of hashes, 0 where one is unknown."""
         place, first, back = np.unique(placed(h), return_index=True, return_inverse=True)
         out = [np.zeros(len(place), np.int64) for _ in range(columns)]
-        which = shard_of(dealt_by[first], self.shards).astype(np.int64)
+        for s, some in self.by_shard(shard_of(dealt_by[first], self.shards), kind):
+            a = self.arrays(f"{kind}-{s:06d}")
+            at = search(a, place[some])
+            hit = at >= 0
+            for o, x in zip(out, decoded(a, at[hit], columns)):
+                o[some[hit]] = x
+        return [o[back] for o in out]
+
+    def by_shard(self, which: np.ndarray, kind: str) -> Iterator[tuple[int, np.ndarray]]:
+        which = which.astype(np.int64)
         order = np.argsort(which, kind="stable")
         cuts = np.searchsorted(which[order], np.arange(self.shards + 1))
         for s in self.meta["stored"][kind]:
-            some = order[cuts[s] : cuts[s + 1]]
-            if len(some):
-                a = self.arrays(f"{kind}-{s:06d}")
-                at = search(a, place[some])
-                hit = at >= 0
-                for o, x in zip(out, decoded(a, at[hit], columns)):
-                    o[some[hit]] = x
+            if cuts[s] < cuts[s + 1]:
+                yield s, order[cuts[s] : cuts[s + 1]]
+
+    def words(self, h: np.ndarray, told: bool = True) -> list[np.ndarray]:
+        """The numbers of words, UNKNOWN for others; told: and their tokens and STATS."""
+        u, back = np.unique(h, return_inverse=True)
+        place = placed(u)
+        out = [np.full(len(u), UNKNOWN), *(np.zeros(len(u), np.int64) for _ in range(1 + len(STATS) if told else 0))]
+        for s, some in self.by_shard(shard_of(u, self.shards), "words"):
+            a = self.arrays(f"words-{s:06d}")
+            at = search(a, place[some])
+            some, rank = some[at >= 0], a["rank"][at[at >= 0]].astype(np.int64)
+            out[0][some] = rank * self.shards + s
+            if told:
+                out[1][some] = a["tokens"][rank]
+                if s in self.meta["told"]:
+                    b = self.arrays(f"stats-{s:06d}")
+                    have = rank < len(b["code"])
+                    for o, x in zip(out[2:], decoded(b, rank[have], len(STATS))):
+                        o[some[have]] = x
         return [o[back] for o in out]
 
 
@@ -303,41 +330,73 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     shards = max(C.partitions(spark), -(-chars // SHARD_CHARS))
     folder = C.shared_path(spark, "lm")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            *words, c = (np.concatenate(x) for x in zip(*held))
-            _, words, (c,) = merged(chained(words), words, [c])
-            return told("grams", *dealt(deal_key(words), shards, lambda at: pack_grams([w[at] for w in words], c[at])))
+            h, n = (np.concatenate(x) for x in zip(*held))
+            h, _, (n,) = merged(h, [], [n])
+            return told("tokens", *dealt(shard_of(h, shards), shards, lambda at: pack([h[at], n[at]])))
 
         for batch in batches:
-            for _, grams, _ in streams(batch.column("text"), order):
-                _, i, c = np.unique(chained(grams), return_index=True, return_counts=True)
-                held.append([*(g[i] for g in grams), c])
-                if sum(len(x[-1]) for x in held) > HELD:  # bounded memory: a task may deal out more than once
+            for _, w, _ in streams(batch.column("text")):
+                u, n = np.unique(w, return_counts=True)
+                held.append((np.append(u, START), np.append(n, 0)))
+                if sum(len(x[0]) for x in held) > HELD:  # bounded memory: a task may deal out more than once
                     yield out()
                     held = []
         if held:
             yield out()
 
+    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(shard: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            h, n = cols
+            place, _, (n,) = merged(placed(h), [], [n])
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(n), np.uint32)
+            rank[order] = np.arange(len(n), dtype=np.uint32)
+            store(folder, f"words-{shard:06d}", place, {"rank": rank, "tokens": n[order].astype("<u4" if n.max() < 1 << 32 else "<i8")})
+            yield noted({"k": 0, "shard": shard, "tokens": int(n.sum()), "known": int((n > 0).sum())})
+
+        yield from by_shard(batches, unpack, done)
+
+    def longest(model: Model):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = Model(folder, shards, model.meta)
+            held: list[list[np.ndarray]] = []
+
+            def out() -> pa.RecordBatch:
+                *words, c = (np.concatenate(x) for x in zip(*held))
+                _, words, (c,) = merged(chained(words), words, [c])
+                return told("grams", *dealt(shard_of(deal_key(words), shards), shards, lambda at: pack_grams([w[at] for w in words], c[at])))
+
+            for batch in batches:
+                for _, w, offs in streams(batch.column("text")):
+                    (number,) = m.words(np.append(w, START), False)
+                    grams = grams_of(number[:-1], offs, number[-1], order)
+                    _, i, c = np.unique(chained(grams), return_index=True, return_counts=True)
+                    held.append([*(g[i] for g in grams), c])
+                    if sum(len(x[-1]) for x in held) > HELD:
+                        yield out()
+                        held = []
+            if held:
+                yield out()
+
+        return count
+
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """n-grams of three words or more."""
         def done(shard: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             *words, c = cols
             k = len(words)
-            context = chained(words[:-1])
-            place, (context, *words), (c,) = merged(placed(joined(context, words[-1])), [context, *words], [c])
-            store(folder, f"grams{k}-{shard:06d}", place, [c])
-            if k == order:
-                w, _, (n,) = merged(words[-1], [], [c])
-                yield told("tokens", *dealt(w, shards, lambda at: pack([w[at], n[at]])))
+            place, words, (c,) = merged(placed(chained(words)), words, [c])
+            store(folder, f"grams{k}-{shard:06d}", place, coded([c]))
             one = np.ones(len(c), np.int64)
-            at, _, sums = merged(placed(context), [], [c, (c == 1) * one, (c == 2) * one, (c > 2) * one])
-            store(folder, f"contexts{k}-{shard:06d}", at, sums)
+            at, _, sums = merged(placed(chained(words[:-1])), [], [c, (c == 1) * one, (c == 2) * one, (c > 2) * one])
+            store(folder, f"contexts{k}-{shard:06d}", at, coded(sums))
             short = words[1:]
             _, short, (n,) = merged(chained(short), short, [one])
-            yield told("grams", *dealt(deal_key(short), shards, lambda at: pack_grams([w[at] for w in short], n[at])))
+            yield told("grams", *dealt(shard_of(deal_key(short), shards), shards, lambda at: pack_grams([w[at] for w in short], n[at])))
             yield noted({"k": k, "shard": shard, "of": counts_of(c)})
 
         yield from by_shard(batches, unpack_grams, done)
@@ -345,71 +404,76 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(shard: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             v, w, c = cols
-            place, (v, w), (c,) = merged(placed(joined(v, w)), [v, w], [c])
-            store(folder, f"grams2-{shard:06d}", place, [c])
+            place, (v, w), (c,) = merged(placed(chained([v, w])), [v, w], [c])
+            store(folder, f"grams2-{shard:06d}", place, coded([c]))
             one, zero = np.ones(len(c), np.int64), np.zeros(len(c), np.int64)
-            begun = [zero, zero, c, (c == 1) * one, (c == 2) * one, (c > 2) * one]
-            ended = [c if order == 2 else zero, one, zero, zero, zero, zero]
-            h, _, sums = merged(np.concatenate([v, w]), [], [np.concatenate(x) for x in zip(begun, ended)])
-            yield told("words", *dealt(h, shards, lambda at: pack([h[at], *(x[at] for x in sums)])))
+            begun = [zero, c, (c == 1) * one, (c == 2) * one, (c > 2) * one]
+            number, _, sums = merged(np.concatenate([v, w]), [], [np.concatenate(x) for x in zip(begun, [one, zero, zero, zero, zero])])
+            yield told("words", *dealt(number % shards, shards, lambda at: pack([np.diff(number[at] // shards, prepend=0), *(x[at] for x in sums)])))
             yield noted({"k": 2, "shard": shard, "of": counts_of(c)})
 
         yield from by_shard(batches, unpack_grams, done)
 
-    def widened(raw: bytes) -> list[np.ndarray]:
-        """A pack of words; one of tokens alone has no other numbers."""
-        h, *sums = unpack(raw)
-        return [h, *sums, *(np.zeros(len(h), np.int64) for _ in STATS[len(sums) :])]
-
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(shard: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            h, *sums = cols
-            place, _, sums = merged(placed(h), [], sums)
-            store(folder, f"words-{shard:06d}", place, sums)
-            tokens, u = sums[:2]
-            yield noted({"k": 1, "shard": shard, "of": counts_of(u), "tokens": int(tokens.sum()), "known": int((tokens > 0).sum()), "before": int(u.sum()), "more": int((u > 2).sum())})
+            rank, _, sums = merged(cols[0], [], cols[1:])
+            every = [np.zeros(int(rank[-1]) + 1, np.int64) for _ in sums]
+            for a, x in zip(every, sums):
+                a[rank] = x
+            C.store_arrays(folder, f"stats-{shard:06d}", coded(every))
+            yield noted({"k": 1, "shard": shard, "of": counts_of(every[0]), "before": int(every[0].sum()), "more": int((every[0] > 2).sum())})
 
-        yield from by_shard(batches, widened, done)
+        yield from by_shard(batches, unpack_grams, done)
 
     def shuffled(rows: DataFrame) -> DataFrame:
         return rows.select("shard", "packed").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
 
+    def notes_of(rows: DataFrame) -> list[dict]:
+        return [json.loads(r["meta"]) for r in rows.filter("kind = 'meta'").select("meta").collect()]  # one row a shard
+
+    texts = docs.select("text")
     # what a finished step has shuffled is not read again, and would stand beside all that follows
     was = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
-        rows = C.map_arrow(docs.select("text"), count, OUT)
-        steps = []
+        notes = notes_of(C.map_arrow(shuffled(C.map_arrow(texts, tokens, OUT)), vocabulary, OUT))
+        meta = {"stored": {"words": sorted(m["shard"] for m in notes)}, "told": set()}
+        rows, step = C.map_arrow(texts, longest(Model(folder, shards, meta)), OUT), None
         for k in range(order, 1, -1):
-            rows = C.materialise(C.map_arrow(shuffled(rows), longer if k > 2 else pairs, OUT), f"lm-{k}")
-            steps.append(rows)
-            rows = rows.filter(F.col("kind") == ("grams" if k > 2 else "words"))
-        if order > 2:
-            rows = rows.unionByName(steps[0].filter("kind = 'tokens'"))
-        notes = [json.loads(r["meta"]) for r in C.map_arrow(shuffled(rows), words, OUT).filter("kind = 'meta'").select("meta").collect()]  # one row a shard
-        for step in steps:
-            notes += [json.loads(r["meta"]) for r in step.filter("kind = 'meta'").select("meta").collect()]
-        C.remove(*steps)
+            last, step = step, C.materialise(C.map_arrow(shuffled(rows), longer if k > 2 else pairs, OUT), f"lm-{k}")
+            if last is not None:
+                C.remove(last)
+            notes += notes_of(step)
+            rows = step.filter(F.col("kind") == ("grams" if k > 2 else "words"))
+        notes += notes_of(C.map_arrow(shuffled(rows), words, OUT))
+        C.remove(step)
     finally:
         spark.conf.set(CLEAN_UP, was)
-    total = lambda k, f: [sum(m["of"][i] for m in notes if m["k"] == k) for i in range(4)] if f == "of" else sum(m[f] for m in notes if m["k"] == k)
-    stored = {k: sorted(m["shard"] for m in notes if m["k"] == k) for k in range(1, order + 1)}
-    meta = {
-        "order": order, "tokens": total(1, "tokens"), "known": total(1, "known"), "before": total(1, "before"),
+
+    def total(k: int, what: str):
+        found = [m[what] for m in notes if m["k"] == k]
+        return [sum(x) for x in zip([0] * 4, *found)] if what == "of" else sum(found)
+
+    shards_of = {k: sorted(m["shard"] for m in notes if m["k"] == k) for k in range(order + 1)}
+    meta |= {
+        "order": order, "tokens": total(0, "tokens"), "known": total(0, "known"), "before": total(1, "before"), "told": set(shards_of[1]),
         "low": [*total(1, "of")[:2], total(1, "more")], "D": {k: discounts(total(k, "of")) for k in range(1, order + 1)},
-        "stored": {"words": stored[1]} | {f"grams{k}": stored[k] for k in range(2, order + 1)} | {f"contexts{k}": stored[k] for k in range(3, order + 1)},
     }
+    meta["stored"] |= {f"grams{k}": shards_of[k] for k in range(2, order + 1)} | {f"contexts{k}": shards_of[k] for k in range(3, order + 1)}
     return Model(folder, shards, meta)
 
 
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def log_probabilities(model: Model, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 p(w | h), tokens of w in training) of each token; grams: the words before each, and the word."""
-    m, n = model.meta, len(grams[0])
-    both = np.concatenate(grams[-2:])
-    tokens, before, begun, once, twice, more = (x.reshape(2, n) for x in model.find("words", both, both, len(STATS)))
+def log_probabilities(model: Model, hashes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 p(w | h), tokens of w in training) of each word of some texts, whose ends are words."""
+    m = model.meta
+    number, tokens, *stats = model.words(np.append(hashes, START))
+    before, begun, once, twice, more = stats
+    grams = grams_of(number[:-1], offs, number[-1], m["order"])
+    # of the word before each word, the start mark's at the beginning of a text
+    back = grams_of(np.arange(len(hashes)), offs, len(hashes), 2)[0]
 
     def share(c: np.ndarray, d: np.ndarray, total: np.ndarray) -> np.ndarray:
         return np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(total, 1)
@@ -419,16 +483,16 @@ def log_probabilities(model: Model, grams: list[np.ndarray]) -> tuple[np.ndarray
 
     e = np.array(m["D"][1])
     g0 = float(np.dot(e[1:], m["low"])) / m["before"] if m["before"] else 1.0
-    p = share(before[1], e, np.array(m["before"])) + g0 / (m["known"] + 1)
+    p = share(before[:-1], e, np.array(m["before"])) + g0 / (m["known"] + 1)
     d, pair = np.array(m["D"][2]), chained(grams[-2:])
     (c,) = model.find("grams2", pair, pair, 1)
-    p = share(c, d, begun[0]) + left(d, begun[0], [once[0], twice[0], more[0]]) * p
+    p = share(c, d, begun[back]) + left(d, begun[back], [once[back], twice[back], more[back]]) * p
     for k in range(3, m["order"] + 1):
         d, h = np.array(m["D"][k]), chained(grams[-k:-1])
         total, *kinds = model.find(f"contexts{k}", h, h, 4)
-        (c,) = model.find(f"grams{k}", joined(h, grams[-1]), h, 1)
+        (c,) = model.find(f"grams{k}", joined(h, grams[-1].astype(np.uint64)), h, 1)
         p = share(c, d, total) + left(d, total, kinds) * p
-    return np.log10(p), tokens[1]
+    return np.log10(p), tokens[:-1]
 
 
 def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
@@ -441,8 +505,8 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
         low = math.log10(meta["tokens"] + meta["known"] + 1)
         for batch in batches:
             done = 0
-            for n, grams, offs in streams(batch.column("text"), meta["order"]):
-                p, tokens = log_probabilities(m, grams)
+            for n, hashes, offs in streams(batch.column("text")):
+                p, tokens = log_probabilities(m, hashes, offs)
                 sums = [np.add.reduceat(x, offs[:-1]) for x in ((tokens > 0).astype(np.int64), np.log10(tokens + 1.0) - low, p)]
                 count = np.diff(offs)
                 yield pa.RecordBatch.from_arrays([
