@@ -175,4 +175,6 @@ SQL = {
           UNION ALL SELECT seq + 1, g, id, x, y, first_value(id) OVER f, least(far, (x - first_value(x) OVER f) ** 2 + (y - first_value(y) OVER f) ** 2) FROM w WHERE seq < 7 WINDOW f AS (PARTITION BY g ORDER BY far DESC, id)),
         n AS (SELECT g, seq, any_value(pick) AS id, max(far) AS far FROM w GROUP BY g, seq)
         SELECT g AS "group", CAST(n.seq AS INT) AS seq, n.id FROM n WHERE NOT EXISTS (SELECT 1 FROM n o WHERE o.g = n.g AND o.seq < n.seq AND o.far = 0)""",
+    "wkt_outlines": """WITH p AS (SELECT * FROM (VALUES (0, 0.0, 0.0), (1, 0.004, 0.0), (2, 0.004, 0.003), (3, 0.0, 0.003), (4, 0.0, 0.0)) t(seq, x, y))
+        SELECT s_suppkey AS field_id, CAST(seq AS INT) AS seq, round(CAST(16.0 + s_suppkey % 9 * 0.5 + x AS DOUBLE), 6) AS lon, round(CAST(50.5 + s_suppkey % 7 * 0.25 + y AS DOUBLE), 6) AS lat FROM supplier, p""",
 }

@@ -248,6 +248,15 @@ def round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return p.withColumns({"x": x, "y": y}).select("field_id", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
 
 
+def wkt_outlines(spark: SparkSession, sf: str) -> DataFrame:
+    """Outlines written as text in the national grid, read back in degrees."""
+    k = F.col("field_id")
+    points = [G.to_grid(16.0 + k % 9 * 0.5 + x, 50.5 + k % 7 * 0.25 + y, G.EPSG_2180) for x, y in ((0.0, 0.0), (0.004, 0.0), (0.004, 0.003), (0.0, 0.003), (0.0, 0.0))]
+    text = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *(F.format_string("%.4f %.4f", e, n) for e, n in points)), F.lit("))"))
+    out = fields(spark, sf).select("field_id", F.posexplode(D.wkt_outline(text, G.EPSG_2180)).alias("seq", "p"))
+    return out.select("field_id", "seq", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
+
+
 def coverage_area(spark: SparkSession, sf: str) -> DataFrame:
     """The area that cells share of each outline adds up to the outline's."""
     c = polygons.covered_cells(D.rings(fields(spark, sf)), N, N)
@@ -447,7 +456,7 @@ QUERIES = {f.__name__: f for f in (
     ndvi_field_stats, scene_candidates_top6, best_scene_least_cloud, best_scene_latest, best_vegetation_date, season_window, day_interval,
     pixel_mask_rings, pixel_mask_edges, valid_field_stats, field_status, stretch_percentiles, ndvi_rgba, box_blur, zone_sizing, raster_sizes, bisection_zones,
     mask_components4, mask_components8, mask_runs, dilate4, outline_edges, mask_sets, zone_borders, zone_rank, zone_size_ratio, zone_rollup,
-    safe_pixels, quantile_rows, distinct_values, pca_axis, path_metrics, utm_project, ring_area_utm, round_trip, coverage_area, bounding_boxes,
+    safe_pixels, quantile_rows, distinct_values, pca_axis, path_metrics, utm_project, ring_area_utm, round_trip, wkt_outlines, coverage_area, bounding_boxes,
     cache_upsert_latest, cache_live, cache_lookup, request_validation, response_headers, scene_windows, raster_blobs, farthest_points,
     grown_zones, balanced_zone_stats, zone_polygons, gap_filled_zones, gap_filled_cells, budgeted_gaps, bisection_tour, legacy_points, sweep_points, zone_tour, field_zones, field_zone_requests, ndvi_images,
 )}

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import geodesy as G
+
 from ..functions import scalar as S
 
 GRID = 16
@@ -56,6 +58,15 @@ def wkt_ring(text: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(F.split(p, r"\s+")[0].cast("double").alias("x"), F.split(p, r"\s+")[1].cast("double").alias("y")))
 
 
+def wkt_outline(text: Column, grid: G.Grid) -> Column:
+    """The outer ring of well-known text in a national or UTM grid, as an array of (lon, lat)."""
+    def degrees(p: Column) -> Column:
+        lon, lat = G.from_grid(p["x"], p["y"], grid)
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    return F.transform(wkt_ring(text), degrees)
+
+
 @F.pandas_udf(T.BinaryType())
 def encode_raster(values: pd.Series) -> pd.Series:
     """float32 arrays as zlib-compressed bytes."""

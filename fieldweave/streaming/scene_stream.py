@@ -53,8 +53,3 @@ def best_scene_stream(scenes: DataFrame, ttl: str = "6 hours", late: str = "1 da
     rows = timed(scenes).withWatermark("acquired", late)
     return rows.groupBy("field_id").applyInPandasWithState(
         update, BEST, "cloud_cover double, acquired long, scene_id long, last long", "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def live_rasters(cache: DataFrame, batch_time: str) -> DataFrame:
-    """Cached rasters that have not expired at a given time (the batch counterpart of state expiry)."""
-    return cache.filter(F.col("expires_at") > F.lit(batch_time).cast("timestamp"))

@@ -65,10 +65,19 @@ def test_png_holds_the_pixels():
     assert np.frombuffer(body, np.uint8).reshape(5, 29)[:, 1:].reshape(5, 7, 4).tolist() == a.tolist()
 
 
-def test_cache_table(spark, tmp_path):
+def test_cache_table(spark):
     sinks.create_cache(spark, "raster_cache")
     sinks.create_cache(spark, "raster_cache")
     assert spark.table("raster_cache").count() == 0
+    at = lambda t: F.lit(f"2024-05-01 {t}").cast("timestamp")
+    rows = lambda i, x, mean: spark.createDataFrame([(i, x, 64, mean)], "id long, min_x double, width int, ndvi_mean_at_selection double")
+    sinks.write_cache(rows(1, 10.00000004, 0.5), "raster_cache", at("08:00:00"), 3600)
+    sinks.write_cache(rows(2, 10.0, None), "raster_cache", at("08:10:00"), 3600)  # the same key when rounded
+    sinks.write_cache(rows(3, 11.0, 0.7), "raster_cache", at("07:00:00"), 3600)
+    sinks.write_cache(rows(4, 12.0, 0.7), "raster_cache", at("08:00:00"), 0)
+    got = {r["id"]: r["ndvi_mean_at_selection"] for r in sinks.read_cache(spark, "raster_cache", at("08:30:00")).collect()}
+    assert got == {2: 0.5} and spark.table("raster_cache").count() == 3
+    assert sinks.read_cache(spark, "raster_cache", at("09:10:00")).count() == 0
     spark.sql("DROP TABLE raster_cache")
 
 
