@@ -737,6 +737,16 @@ def test_separator_scan(spark, tmp_path, block):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_ids_that_do_not_fit_are_refused(spark, docs, tmp_path):
+    from fieldweave.llm import separators
+
+    vocabulary = sstable.default_vocabulary()
+    assert separators.dtype_for(vocabulary) == "<u2" and separators.dtype_for(vocabulary, 70_000) == "<u4"
+    with pytest.raises(Exception, match="an id beyond"):
+        separators.write_flat(docs, str(tmp_path), 70_000, "<u2").collect()
+    assert separators.write_flat(docs, str(tmp_path), 70_000).count() > 0
+
+
 def test_token_counts(spark, docs, none):
     from tokenizers import Tokenizer
 
