@@ -190,11 +190,6 @@ def zone_rows(pixels: DataFrame, algorithm: str = "legacy") -> DataFrame:
     """One row per zone from a field's pixels and its request; one group per field."""
     names = T._parse_datatype_string(ZONE).names
 
-    def blur(a: np.ndarray, k: int) -> np.ndarray:
-        p = np.cumsum(np.cumsum(np.pad(np.pad(a, k, mode="edge"), ((1, 0), (1, 0))), 0), 1)
-        s = 2 * k + 1
-        return (p[s:, s:] - p[:-s, s:] - p[s:, :-s] + p[:-s, :-s]) / s**2
-
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf.iloc[0]
         h, w = int(q["height"]), int(q["width"])
@@ -202,15 +197,14 @@ def zone_rows(pixels: DataFrame, algorithm: str = "legacy") -> DataFrame:
         value[pdf["r"], pdf["c"]] = pdf["ndvi"].fillna(0.0)
         valid[pdf["r"], pdf["c"]] = pdf["valid"]
         n_valid, area, target = int(valid.sum()), float(q["area_ha"]), float(q["target_plot_size_ha"])
-        cap_ha, pixel = min(S.MAX_HA, target * (1 + S.DEVIATION)), area / n_valid
-        least = 1 if area <= target else S.MIN_ZONES
-        n = max(least, min(max(S.MAX_ZONES, int(np.ceil(area / cap_ha))), int(np.ceil(area / target))))
+        pixel, want = area / n_valid, zoning.sizes(area, target, n_valid)
+        n, least = want.zones, want.fewest
         radius = max(1, round(BLUR_SHARE * float(np.sqrt(n_valid / n))))
         flat = np.zeros((h + 2, w + 2))
-        flat[1:-1, 1:-1] = blur(value, radius)
+        flat[1:-1, 1:-1] = zoning.blurred(value, radius)
         ras = zoning.Raster(h, w, flat.ravel())
         cells = ras.flat(*np.nonzero(valid))
-        done = zoning.zone_field(ras, cells, n, max(1, int(cap_ha / pixel)), max(1, int(target * (1 - S.DEVIATION) / pixel)), bool(q["single_zone_override"]), least)
+        done = zoning.zone_field(ras, cells, n, want.cap, want.least, bool(q["single_zone_override"]), least)
         box = q["box"]
         to_lon = lambda x: box["min_x"] + x / w * (box["max_x"] - box["min_x"])
         to_lat = lambda y: box["max_y"] - y / h * (box["max_y"] - box["min_y"])
