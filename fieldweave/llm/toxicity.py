@@ -88,14 +88,14 @@ class BlockMaxIndex:
         common = common[df[common] > COMMON * n]
         self.slot = np.full(self.terms, -1, np.int32)
         self.slot[common] = np.arange(len(common))
-        who = np.repeat(np.arange(n), np.diff(self.offs))
+        who = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.offs))
         often = self.slot[self.term] >= 0
         dense = np.zeros((n, len(common)))
         dense[who[often], self.slot[self.term[often]]] = self.weight[often]
         self.order = alike(dense, np.diff(self.offs))
         self.blocks = -(-n // BLOCK)
-        self.place = np.empty(n, np.int64)
-        self.place[self.order] = np.arange(n)
+        self.place = np.empty(n, np.int32)
+        self.place[self.order] = np.arange(n, dtype=np.int32)
         self.top = np.zeros((len(common), self.blocks))
         self.dense: list[tuple[np.ndarray, np.ndarray]] = []  # of each block its common words, and their weights
         for b in range(self.blocks):
@@ -107,6 +107,7 @@ class BlockMaxIndex:
         rare = rare[np.argsort(self.term[rare], kind="stable")]
         self.at = np.searchsorted(self.term[rare], np.arange(self.terms + 1))
         self.posting, self.posted = self.place[who[rare]], self.weight[rare]
+        del dense, who, often, rare
 
     def nearest(self, texts: list[Vector], k: int, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each text the k examples of the highest cosine above 0, without the example ``but``: rows of cosines
@@ -359,11 +360,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
         lists = found[name].combine_chunks()
-        return lists.flatten().to_numpy().astype(np.int64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
+        return lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
 
     (terms, offs), (times, _) = flat("terms"), flat("times")
-    model.fit(found["doc_id"].to_pylist(), found["toxic"].to_numpy().astype(float), [(terms[x:y], times[x:y]) for x, y in zip(offs, offs[1:])], rate)
-    del found, terms, times, count
+    ids, toxic = found["doc_id"].to_pylist(), found["toxic"].to_numpy().astype(float)
+    del found, count, term, freq
+    C.trim()  # the driver's memory is small, and what follows takes several times the examples' vectors
+    model.fit(ids, toxic, [(terms[x:y], times[x:y]) for x, y in zip(offs, offs[1:])], rate)
+    del terms, times
     C.trim()
     return model
 
