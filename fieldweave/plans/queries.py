@@ -339,7 +339,7 @@ def farthest_points(spark: SparkSession, sf: str) -> DataFrame:
 def zoned(spark: SparkSession, sf: str) -> DataFrame:
     """(field_id, r, c, zone, algorithm, ndvi) of all fields: mask, blur, sizing, then one grouped map per field."""
     smooth = raster.box_blur(dense(spark, sf), 1, N, N).select("field_id", "r", "c", F.round("smoothed", 9).alias("smoothed"))
-    px = masked(spark, sf).filter("inside").select("field_id", "r", "c", "ndvi").join(smooth, ["field_id", "r", "c"])
+    px = masked(spark, sf).filter("inside").select("field_id", "r", "c", "ndvi").join(smooth.hint("merge"), ["field_id", "r", "c"])
     valid = px.groupBy("field_id").agg(F.count("*").alias("valid"))
     s = S.sizing(F.col("valid") * 0.16, F.lit(2.0) + F.col("field_id") % 3, F.col("valid"))
     sized = valid.select("field_id", *(s[k].alias(k) for k in ("n_zones", "max_px", "min_px")))
