@@ -24,7 +24,7 @@ def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", ["pixel_mask_rings", "balanced_zone_stats", "legacy_points", "sweep_points", "zone_polygons", "zone_tour", "budgeted_gaps", "field_zones", "gap_filled_zones"])
+@pytest.mark.parametrize("name", ["pixel_mask_rings", "balanced_zone_stats", "grown_zones", "legacy_points", "sweep_points", "zone_polygons", "zone_tour", "budgeted_gaps", "field_zones", "gap_filled_zones"])
 def test_no_grid_through_the_driver(spark, name):
     """Grids and rings are as many as the fields, however small a plan takes them to be; all pixels are above the limit."""
     key = "spark.sql.autoBroadcastJoinThreshold"
