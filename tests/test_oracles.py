@@ -2,6 +2,7 @@
 
 import pytest
 from compare import database, difference
+from pyspark.sql.functions import spark_partition_id
 
 from fieldweave.plans.oracles import SQL
 from fieldweave.plans.queries import QUERIES
@@ -36,6 +37,16 @@ def test_no_grid_through_the_driver(spark, name):
         spark.conf.set(key, before)
 
 
+def test_outlines_are_covered_in_many_tasks(spark):
+    """All outlines are few bytes, which adaptive execution merges into one task."""
+    from fieldweave.operators.polygons import covered_cells
+    from fieldweave.plans.queries import fields
+    from fieldweave.sources.domain import rings
+
+    cells = covered_cells(rings(fields(spark, "/root/testdata/sf0.01")), 16, 16)
+    assert cells.select(spark_partition_id()).distinct().count() == 4
+
+
 def test_rings_carry_no_rule(spark):
     """From a rule that says how rings follow from field_id, a join may infer a filter on the other side's field_id."""
     from fieldweave.plans.queries import fields
